@@ -33,3 +33,9 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df over as many partitions as there are cores, if a scan gives fewer; for work that is heavy a row. ``df`` must be a plain scan or projection."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores, *by)
