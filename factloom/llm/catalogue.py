@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 
 from factloom.llm.mixing import mix_sources
 from factloom.llm.packing import pack_documents
+from factloom.llm.pii import find_pii, redact
 from factloom.llm.splitting import split_oversized
 from factloom.llm.survivors import surviving_records
 from factloom.session import load
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(load(spark, sf_dir, "chunks"), load(spark, sf_dir, "name_parts"), id="chunk_id", text="text")
+    return found.select("chunk_id", "pii_type", "pii_text").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = load(spark, sf_dir, "chunks").select("chunk_id", "text").distinct()
+    return redact(chunks, load(spark, sf_dir, "name_parts"), id="chunk_id", text="text").select("chunk_id", "redacted", "n_pii")
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = load(spark, sf_dir, "chunks").select("chunk_id", "path", "start_line", "text").distinct()
     return split_oversized(chunks, text="text", start_line="start_line")
@@ -90,7 +101,7 @@ v AS (SELECT r.grp, value_map[w.winner] AS winner_value, r.rank, r.t, r.id FROM
 SELECT group_id, winner, winner_value, CAST(resolved AS INT) AS resolved FROM g LEFT JOIN w USING (grp) LEFT JOIN s USING (grp) LEFT JOIN v USING (grp)""",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_currency, p7_found, p7_containers, p8_found, p8_mixture, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_pieces, p3_found, p3_currency, p7_found, p7_containers, p8_found, p8_mixture, p8_report)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

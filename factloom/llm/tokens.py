@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from factloom.session import spread
+
 #: Fixed value: the public pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -41,4 +43,4 @@ def token_counts(df: DataFrame, id: str, text: str, vocabulary: str = DEFAULT_VO
     cols = [df[id].alias("id"), df[text].alias("text")] + ([df[keep].alias("keep")] if keep else [])
     kind = lambda c: df.schema[c].dataType.simpleString()
     schema = f"id {kind(id)}, n_tokens int" + (f", keep {kind(keep)}" if keep else "")
-    return df.select(*cols).mapInArrow(_counter(vocabulary), schema)
+    return spread(df.select(*cols), "id").mapInArrow(_counter(vocabulary), schema)
