@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.markup import clean_markup
 from factloom.llm.mixing import mix_sources
 from factloom.llm.packing import pack_documents
 from factloom.llm.pii import find_pii, redact
 from factloom.llm.splitting import split_oversized
+from factloom.llm.subjects import assign_subjects
 from factloom.llm.survivors import surviving_records
 from factloom.session import load
 
@@ -53,6 +55,20 @@ def p3_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _survivors(spark, sf_dir, "learned")
 
 
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_markup(load(spark, sf_dir, "chunks"), id="chunk_id", text="text", headings="heading_path")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = _cleaned(spark, sf_dir)
+    rows = cleaned.select("chunk_id", F.explode(F.create_map(F.lit("text"), "text_markup", F.lit("heading_path"), "heading_markup")).alias("field_name", "langs"))
+    return rows.select("chunk_id", "field_name", F.explode("langs").alias("markup")).distinct()
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned(spark, sf_dir).select("chunk_id", "clean_text", F.array_join("clean_headings", " > ").alias("clean_heading_path")).distinct()
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"), id="doc_id", text="text")
 
@@ -81,6 +97,22 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r["subject"] for r in load(spark, sf_dir, "subjects").collect()]
+    return assign_subjects(load(spark, sf_dir, "documents"), load(spark, sf_dir, "doc_labels"), names, id="doc_id", text="text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of each subject, and the share of all documents that has it."""
+    whole = load(spark, sf_dir, "documents").agg(F.countDistinct("doc_id").alias("all_documents"))
+    counts = p9_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"))
+    return counts.crossJoin(F.broadcast(whole)).select("subject", "documents", (F.col("documents") / F.col("all_documents")).alias("share"))
+
+
 ORACLE = {
     "p2_found": r"""
 WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE length(text) > 1500),
@@ -101,7 +133,7 @@ v AS (SELECT r.grp, value_map[w.winner] AS winner_value, r.rank, r.t, r.id FROM
 SELECT group_id, winner, winner_value, CAST(resolved AS INT) AS resolved FROM g LEFT JOIN w USING (grp) LEFT JOIN s USING (grp) LEFT JOIN v USING (grp)""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_pieces, p3_found, p3_currency, p7_found, p7_containers, p8_found, p8_mixture, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_pieces, p3_found, p3_currency, p4_found, p4_clean, p7_found, p7_containers, p8_found, p8_mixture, p8_report, p9_found, p9_composition)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
