@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import history
+from factloom.plans import history, texts
 
-MODULES = (history,)
+MODULES = (history, texts)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
