@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import history, texts
+from factloom.plans import facts, history, texts
 
-MODULES = (history, texts)
+MODULES = (history, texts, facts)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
