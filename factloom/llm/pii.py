@@ -358,11 +358,10 @@ def find_pii(df: DataFrame, parts: DataFrame, *, id: str, text: str) -> DataFram
     rows = spread(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "id")
     lexicon = name_lexicon(rows.select("text").filter("text is not null"), parts)
     spans = rows.mapInArrow(_spans(bloom_of(lexicon)), f"id {kind}, pii_type string, start int, end int, pii_text string, given string, family string")
-    family = lexicon.filter("kind = 'family'").select(F.col("word").alias("family"))
-    given = lexicon.filter("kind = 'given'").select(F.col("word").alias("given")).unionByName(df.sparkSession.createDataFrame([("",)], "given string"))
-    people = spans.filter("pii_type = 'person'").join(family, "family", "left_semi").join(given, "given", "left_semi")
-    cols = [F.col("id").alias(id), "pii_type", "start", "end", "pii_text"]
-    return spans.filter("pii_type != 'person'").select(*cols).unionByName(people.select(*cols)).distinct()
+    family = lexicon.filter("kind = 'family'").select(F.col("word").alias("family"), F.lit(True).alias("is_family"))
+    given = lexicon.filter("kind = 'given'").select("word").unionByName(df.sparkSession.createDataFrame([("",)], "word string")).select(F.col("word").alias("given"), F.lit(True).alias("is_given"))
+    told = spans.join(family, "family", "left").join(given, "given", "left").filter("pii_type != 'person' or (is_family and is_given)")
+    return told.select(F.col("id").alias(id), "pii_type", "start", "end", "pii_text").distinct()
 
 
 def redact(df: DataFrame, parts: DataFrame, *, id: str, text: str) -> DataFrame:
