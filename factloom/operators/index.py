@@ -40,7 +40,7 @@ def version_of(manifest: DataFrame) -> DataFrame:
 
     Only the list of files, a path and a hash each, is gathered; it is what one scan of the folder yields.
     """
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha1"))), lambda x: F.concat(x["path"], F.lit(":"), x["sha1"])), "\n")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha1"))), lambda x: F.concat(x["path"], x["sha1"])), "")
     return manifest.agg(F.substring(F.sha2(lines, 256), 1, 12).alias("version"), F.count("*").alias("files"))
 
 

@@ -342,7 +342,7 @@ SELECT doc_id, min(n) AS first, max(n) AS last, CAST(sum(length(line)) AS BIGINT
     "rotate_partition": "SELECT strftime(verified, '%Y-%m') AS month, count(*) AS sections, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT DISTINCT chunk_id, verified, text FROM chunks WHERE path = 'log.md' AND verified IS NOT NULL) WHERE verified < DATE '2026-09-29' - 365 GROUP BY 1",
     "incremental_diff": "WITH " + _MANIFEST + """ SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.mtime = b.mtime AND a.size = b.size THEN 'unchanged' WHEN a.sha1 = b.sha1 THEN 'touched' ELSE 'updated' END AS status
 FROM (SELECT * FROM o WHERE size % 10 <> 0) a FULL JOIN (SELECT * FROM n WHERE size % 7 <> 0) b USING (path)""",
-    "index_version": "WITH " + _MANIFEST + " SELECT left(sha256(string_agg(path || ':' || sha1, chr(10) ORDER BY path)), 12) AS version, count(*) AS files FROM n WHERE size % 7 <> 0",
+    "index_version": "WITH " + _MANIFEST + " SELECT left(sha256(string_agg(path || sha1, '' ORDER BY path)), 12) AS version, count(*) AS files FROM n WHERE size % 7 <> 0",
     "cosine_topk": "WITH " + _COS + " SELECT qid, rank, vec_id, round(score, 5) AS score FROM dr",
     "rrf_fuse": "WITH " + _COS + " SELECT qid, vec_id, round(score, 6) AS score FROM fu",
     "hybrid_rrf": "WITH " + _COS + """, h AS (SELECT qid, vec_id, score * (0.75 + 0.25 * pow(0.5, greatest(0, DATE '2026-09-29' - (DATE '2025-01-01' + CAST(vec_id % 700 AS INT))) / 180.0)) * CASE WHEN vec_id % 5 = 0 THEN 0.6 ELSE 1 END AS score FROM fu)
