@@ -27,15 +27,20 @@ def parse_tag(body: Column) -> Column:
             .when(s.rlike(r"^supersedes:?\s+\S.{0,60}$"), "supersedes").otherwise("bad")
         )
 
-    kinds = F.transform(items, kind)
-    of = lambda name: F.get(F.filter(items, lambda s: kind(s) == name), F.lit(0))
-    date = lambda name: F.try_to_date(day(of(name)), "yyyy-MM-dd")
-    fits = ~F.array_contains(kinds, "bad") & (F.size(F.array_distinct(kinds)) == F.size(kinds)) & F.coalesce(date("valid_until") >= date("valid_from"), F.lit(True))
-    made = F.struct(
-        F.lower(of("authority")).alias("authority"), F.lower(of("source")).alias("source"), date("valid_from").alias("valid_from"), date("valid_until").alias("valid_until"),
-        F.trim(F.regexp_extract(of("supersedes"), r"^supersedes:?\s+(\S.{0,60})$", 1)).alias("supersedes"),
-    )
-    return F.when(body.isNotNull() & fits, made)
+    def made(told: Column) -> Column:
+        """The tag from its items as (kind, text), bound once by the caller."""
+        kinds = F.transform(told, lambda x: x["kind"])
+        of = lambda name: F.get(F.filter(told, lambda x: x["kind"] == name), F.lit(0))["text"]
+        date = lambda name: F.try_to_date(day(of(name)), "yyyy-MM-dd")
+        fits = ~F.array_contains(kinds, "bad") & (F.size(F.array_distinct(kinds)) == F.size(kinds)) & F.coalesce(date("valid_until") >= date("valid_from"), F.lit(True))
+        tag = F.struct(
+            F.lower(of("authority")).alias("authority"), F.lower(of("source")).alias("source"), date("valid_from").alias("valid_from"), date("valid_until").alias("valid_until"),
+            F.trim(F.regexp_extract(of("supersedes"), r"^supersedes:?\s+(\S.{0,60})$", 1)).alias("supersedes"),
+        )
+        return F.when(fits, tag)
+
+    told = F.transform(items, lambda s: F.struct(kind(s).alias("kind"), s.alias("text")))
+    return F.when(body.isNotNull(), F.get(F.transform(F.array(told), made), F.lit(0)))
 
 
 def line_tag(line: Column) -> Column:

@@ -10,20 +10,22 @@ from pyspark.sql import functions as F
 from factloom.functions import freshness as fr
 from factloom.functions.text import stem_all_udf, with_tokens
 from factloom.operators import facts, notes, retrieval
+from factloom.session import cut
 
 NONE_DAY, LAST_DAY = "0001-01-01", "9999-12-31"
 
 
 def index_tables(texts: DataFrame, stem: bool = True) -> dict[str, DataFrame]:
-    """docs, chunks (dated, with index tokens) and assertions of a table of notes (path, text, mtime)."""
+    """docs, chunks (dated, with index tokens) and assertions of a table of notes (path, text, mtime), all written once."""
     docs, chunks = notes.parse_notes(texts)
-    dated = notes.dated(chunks, docs)
+    docs = cut(docs)
+    dated = cut(notes.dated(cut(chunks), docs))
     tok = with_tokens(dated, "text", "own")
     tok = with_tokens(tok.withColumn("heads", F.array_join("heading_path", " ")), "heads", "above")
     if stem:
         tok = tok.withColumn("own", stem_all_udf("own")).withColumn("above", stem_all_udf("above"))
     tok = tok.withColumn("tokens", F.concat("own", F.array_sort(F.array_except(F.array_distinct("above"), "own")))).drop("own", "above", "heads")
-    return {"docs": docs, "chunks": tok, "assertions": notes.assertions_of(dated, stem)}
+    return {"docs": docs, "chunks": cut(tok), "assertions": cut(notes.assertions_of(dated, stem))}
 
 
 def asked(spark: SparkSession, questions: dict[str, str], as_of: date | None = None, stem: bool = True) -> DataFrame:
