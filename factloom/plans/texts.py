@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom.functions import freshness as fr
 from factloom.functions.text import content_words, normalized, stem_udf, stemmed, with_tokens, words_of
 from factloom.operators import index, retrieval
-from factloom.session import load
+from factloom.session import load, spread
 
 NOW = date(2026, 9, 29)
 #: A stated table of questions; the corpus is asked all of them in one job.
@@ -29,7 +29,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_tokens(documents(spark, sf_dir), "text").select(F.col("doc_id").alias("chunk_id"), "tokens")
+    return with_tokens(spread(documents(spark, sf_dir), "doc_id"), "text").select(F.col("doc_id").alias("chunk_id"), "tokens")
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def test_hybrid_finds_other_words(spark):
 
     s = api.NotesStore(spark, texts=NOTES, embed=embed)
     s.index()
-    got = [r.cite for r in s.search("boss", k=5, now=NOW, mode="hybrid").collect()]
+    got = [r.cite for r in s.search("boss", k=10, now=NOW, mode="hybrid").collect()]
     assert got[0] == "journal/2026-08-14.md:3" and "projects/orion.md:7" in got
 
 
