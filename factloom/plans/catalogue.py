@@ -12,7 +12,7 @@ MODULES = (history, texts, facts)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.p6_found(spark, sf_dir)
+    return texts.search_full(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,14 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
 
+# Python workers and data sources import the package by path.
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (str(Path(__file__).resolve().parents[1]), os.environ.get("PYTHONPATH")) if x)
+
+
 @pytest.fixture(scope="session")
 def spark():
     s = (
