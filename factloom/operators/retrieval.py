@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from factloom.session import cut
 
 K1, B = 1.2, 0.75
+#: Terms asked for that are compared one by one in a scan; more are joined.
+MOST_TERMS = 200
 
 
 def postings(tokens: DataFrame, id: str = "chunk_id") -> DataFrame:
@@ -42,15 +44,17 @@ def bm25(tokens: DataFrame, queries: DataFrame, id: str = "chunk_id") -> DataFra
     Repeated query terms count once; queries without terms, an empty corpus and one without tokens give no rows.
     """
     wanted = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    if _small(queries):
+    few = _small(queries)
+    vocabulary = sorted(r["term"] for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()) if few else []
+    if few and len(vocabulary) <= MOST_TERMS:
         # One pass over the corpus: a chunk's length and the few of its tokens that are asked for.
-        vocabulary = sorted(r["term"] for r in wanted.select("term").distinct().collect())
         slim = cut(tokens.select(F.col(id), F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(*vocabulary) if vocabulary else F.lit(False)).alias("asked")))
         stats = slim.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
         terms_of = slim.select(id, "dl", F.explode("asked").alias("term"))
     else:
         stats = corpus_stats(tokens)
-        terms_of = tokens.select(F.col(id), F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term")
+        terms = wanted.select("term").distinct()
+        terms_of = tokens.select(F.col(id), F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(F.broadcast(terms) if few else terms, "term")
     hits = terms_of.groupBy("term", id, "dl").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = hits.join(F.broadcast(stats)).join(df, "term").filter("avgdl > 0")

@@ -20,12 +20,16 @@ def index_tables(texts: DataFrame, stem: bool = True) -> dict[str, DataFrame]:
     docs, chunks = notes.parse_notes(texts)
     docs = cut(docs)
     dated = cut(notes.dated(cut(chunks), docs))
-    tok = with_tokens(dated, "text", "own")
+    return {"docs": docs, "chunks": cut(with_index_tokens(dated, stem)), "assertions": cut(notes.assertions_of(dated, stem))}
+
+
+def with_index_tokens(chunks: DataFrame, stem: bool = True) -> DataFrame:
+    """chunks (text, heading_path) with tokens: the words of the text, then once each those that only its headings have."""
+    tok = with_tokens(chunks, "text", "own")
     tok = with_tokens(tok.withColumn("heads", F.array_join("heading_path", " ")), "heads", "above")
     if stem:
         tok = tok.withColumn("own", stem_all_udf("own")).withColumn("above", stem_all_udf("above"))
-    tok = tok.withColumn("tokens", F.concat("own", F.array_sort(F.array_except(F.array_distinct("above"), "own")))).drop("own", "above", "heads")
-    return {"docs": docs, "chunks": cut(tok), "assertions": cut(notes.assertions_of(dated, stem))}
+    return tok.withColumn("tokens", F.concat("own", F.array_sort(F.array_except(F.array_distinct("above"), "own")))).drop("own", "above", "heads")
 
 
 def asked(spark: SparkSession, questions: dict[str, str], as_of: date | None = None, stem: bool = True) -> DataFrame:
@@ -45,7 +49,7 @@ def search(tables: dict[str, DataFrame], queries: DataFrame, *, k: int = 5, now:
 
     ``scores`` (qid, chunk_id, score) replaces BM25 as the first stage. With ``as_of``, chunks known to be written or to
     take effect later are left out, supersession counts facts in effect by then, and ages are measured from then; corpus
-    figures stay those of the whole corpus.
+    figures stay those of the whole corpus. Columns heading_path and text are given where the table of chunks has them.
     """
     if mode not in ("full", "bm25"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -54,8 +58,9 @@ def search(tables: dict[str, DataFrame], queries: DataFrame, *, k: int = 5, now:
     chunks = tables["chunks"].join(chunk_facts(tables["assertions"]), "chunk_id", "left").withColumns({"starts": arrays(F.col("starts")), "untils": arrays(F.col("untils"))})
     age = fr.age_days(F.col("effective_date"), F.lit(when))
     must = fr.must_reverify(age, F.col("is_volatile"), cfg)
+    long = [c for c in ("heading_path", "text") if c in tables["chunks"].columns]
     state = chunks.select(
-        "chunk_id", F.concat_ws(":", "path", "start_line").alias("cite"), "path", "start_line", "end_line", "heading_path", "text", "effective_date", "effective_source", "is_volatile", "starts",
+        "chunk_id", F.concat_ws(":", "path", "start_line").alias("cite"), "path", "start_line", "end_line", *long, "effective_date", "effective_source", "is_volatile", "starts",
         age.alias("age"), must.alias("must"), fr.status(age, must, cfg).alias("fresh"), fr.decay(age, cfg).alias("decay"), facts.expired_at(F.col("untils"), F.lit(when)).alias("expired"),
     )
     raw = scores if scores is not None else retrieval.bm25(tables["chunks"], queries)
@@ -73,7 +78,7 @@ def search(tables: dict[str, DataFrame], queries: DataFrame, *, k: int = 5, now:
         status = F.when(F.coalesce("superseded", F.lit(False)), "SUPERSEDED").when(F.col("expired"), "EXPIRED").otherwise(F.col("fresh"))
         shown = placed.join(state, "chunk_id").join(beaten, "chunk_id", "left").withColumn("status", status)
     return shown.select(
-        "qid", "rank", "chunk_id", "cite", "path", "start_line", "end_line", "heading_path", "text", "score", "status", "age", F.col("effective_date").alias("as_of"), F.col("effective_source").alias("date_source"),
+        "qid", "rank", "chunk_id", "cite", "path", "start_line", "end_line", *long, "score", "status", "age", F.col("effective_date").alias("as_of"), F.col("effective_source").alias("date_source"),
         F.col("is_volatile").alias("volatile"), F.col("must").alias("must_reverify"),
     )
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import facts, history, texts
+from factloom.plans import facts, history, search, texts
 
-MODULES = (history, texts, facts)
+MODULES = (history, texts, facts, search)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

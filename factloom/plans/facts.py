@@ -23,7 +23,7 @@ def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.coalesce("valid_from", "as_of")
     return rows.select(
         F.col("fact_key").alias("key"), "chunk_id", F.col("entry_id").alias("ord"), F.regexp_replace("cite", r":\d+$", "").alias("path"), F.coalesce("label", "fact_key").alias("label"), F.lower(F.trim("value")).alias("value"),
-        F.col("value").alias("raw_value"), start.alias("start"), F.when(F.col("valid_from").isNotNull(), "tag:from").otherwise(F.coalesce("date_source", F.lit("unknown"))).alias("source"), "authority", "valid_from", "valid_until", "cite",
+        F.col("value").alias("raw_value"), start.alias("start"), F.when(F.col("valid_from").isNotNull(), "tag:from").otherwise(F.coalesce("date_source", F.lit("unknown"))).alias("source"), "authority", F.col("source").alias("origin"), "valid_from", "valid_until", "cite",
         F.col("as_of").alias("day"), F.col("date_source").alias("day_source"),
     )
 

@@ -106,13 +106,14 @@ def mtime_date(spark, sf_dir):
     return scans(spark, sf_dir).select("path", F.date_format(fr.mtime_date(F.col("mtime")), "yyyy-MM-dd").alias("day"))
 
 
-def dated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_id, path, cite, day, source, volatile of every chunk: its own date, else the file's."""
-    chunks = load(spark, sf_dir, "chunks").select("chunk_id", "path", "start_line", "verified", "date_source", "is_volatile", "text").dropDuplicates(["chunk_id"])
+def dated_chunks(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """chunk_id, path, cite, day, source, volatile and ``more`` columns of every chunk: its own date, else the file's."""
+    named = ("chunk_id", "path", "start_line", "verified", "date_source", "is_volatile", "text")
+    chunks = load(spark, sf_dir, "chunks").select(*named, *[c for c in more if c not in named]).dropDuplicates(["chunk_id"])
     files = scans(spark, sf_dir).select("path", fr.mtime_date(F.col("mtime")).alias("file_day"))
     source = F.when(F.col("verified").isNotNull(), F.coalesce("date_source", F.lit("inline"))).when(F.col("file_day").isNotNull(), "mtime").otherwise("unknown")
     volatile = F.coalesce("is_volatile", F.lit(False)) | fr.is_volatile_text(F.col("text"))
-    return chunks.join(files, "path", "left").select("chunk_id", "path", F.concat_ws(":", "path", "start_line").alias("cite"), F.coalesce("verified", "file_day").alias("day"), source.alias("source"), volatile.alias("volatile"))
+    return chunks.join(files, "path", "left").select("chunk_id", "path", F.concat_ws(":", "path", "start_line").alias("cite"), F.coalesce("verified", "file_day").alias("day"), source.alias("source"), volatile.alias("volatile"), *more)
 
 
 def effective_date(spark, sf_dir):
