@@ -12,7 +12,7 @@ MODULES = (history, texts, facts, search)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts.search_full(spark, sf_dir)
+    return search.search_notes(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -64,6 +64,27 @@ def shown(found: DataFrame) -> DataFrame:
     return found.select("qid", "rank", "chunk_id", "cite", F.round("score", 6).alias("score"), "status", "age", DAY("as_of").alias("as_of"), F.col("must_reverify").cast("int").alias("must_reverify"))
 
 
-_NAMES = "search_fused search_hybrid".split()
+def _stated() -> dict[str, str]:
+    return dict(texts.QUESTIONS) | {q: t for q, t, _ in facts.ASKED}
+
+
+def search_notes(spark, sf_dir):
+    """The ten best chunks for each stated question, superseding ones promoted."""
+    return shown(search.search(tables(spark, sf_dir), search.asked(spark, _stated()), k=10, now=texts.NOW))
+
+
+def search_asof(spark, sf_dir, as_of=facts.CUTOFFS[1]):
+    """The same as it was known on a day in the past."""
+    return shown(search.search(tables(spark, sf_dir), search.asked(spark, _stated(), as_of), k=10, now=texts.NOW, as_of=as_of))
+
+
+def search_explain(spark, sf_dir):
+    """For each stated question the fact that answers it, its present value, and how many values it replaced."""
+    hits = cut(search.search(t := tables(spark, sf_dir), search.asked(spark, _stated()), k=10, now=texts.NOW))
+    told = search.explain(t, _stated(), now=texts.NOW, hits=hits)
+    return told.select("qid", "key", "status", F.col("resolved").cast("int").alias("resolved"), F.col("current.value").alias("value"), F.col("current.cite").alias("cite"), F.size(F.coalesce("superseded", F.array())).alias("n_superseded"), F.col("no_match").cast("int").alias("no_match"), F.col("no_fact").cast("int").alias("no_fact"))
+
+
+_NAMES = "search_fused search_hybrid search_notes search_asof search_explain".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLE: dict[str, str] = {}

@@ -136,3 +136,20 @@ def test_hybrid_search_equals_a_plain_one(spark, world, vectors):
     chunks, facts = world
     want = {str(q): plain_search(chunks, facts, fused(chunks, vectors, q), chunks[q].tokens, 5) for q in vectors if q in search.LIKE}
     assert got(catalogue.queries()["search_hybrid"](spark, DATA)) == want
+
+
+@pytest.mark.parametrize("name, as_of", [("search_notes", None), ("search_asof", dt.date(2023, 1, 1))])
+def test_search_equals_a_plain_one(spark, world, name, as_of):
+    chunks, facts = world
+    asked = {r.qid: r.terms for r in search.search.asked(spark, search._stated(), as_of).collect()}
+    want = {q: plain_search(chunks, facts, bm25(chunks, terms), terms, 10, as_of) for q, terms in asked.items()}
+    assert got(catalogue.queries()[name](spark, DATA)) == {q: rows for q, rows in want.items() if rows}
+    assert any(r[3] == "SUPERSEDED" for rows in want.values() for r in rows)
+    assert as_of or any(r[2] == 0.0 for rows in want.values() for r in rows), "no superseding chunk was brought in"
+
+
+def test_explain_follows_the_search(spark, world):
+    _, facts = world
+    rows = catalogue.queries()["search_explain"](spark, DATA).collect()
+    assert {r.qid for r in rows} == set(search._stated()) and any(r.n_superseded for r in rows)
+    assert all(r.key in {a.key for a in facts} for r in rows if not (r.no_match or r.no_fact))
