@@ -1,7 +1,8 @@
 """Splitting long chunks at natural boundaries, by one bounded-quantifier regular expression in the JVM.
 
 The alternatives stand in order of strength: the rest of the text, a line's end, a sentence's end, white space,
-any character. Each first tries to leave room for the overlap, then goes up to the limit with less overlap. What
+any character. Pieces after the first leave room for the overlap, by a weaker boundary where it must be; only
+texts whose lines all fit are cut at line ends throughout, with less overlap before a line that fills a piece. What
 is matched includes the one character of white space at the cut, so the matches tile the text. Overlaps look back
 into the piece before for its last whole words.
 """
@@ -15,6 +16,14 @@ ADDED = ("piece_no", "piece_text", "piece_start", "piece_end", "overlap_chars",
 
 
 def cut_pattern(limit: int, overlap: int) -> str:
+    def ways(most: int) -> str:
+        return "|".join((rf".{{1,{most}}}\z", rf".{{0,{most}}}\n", rf".{{1,{most}}}(?<=[.!?])\s", rf".{{0,{most}}}\s", rf".{{1,{most}}}"))
+
+    return rf"(?sU)\A(?:{ways(limit)})|{ways(limit - overlap - 1)}"
+
+
+def line_pattern(limit: int, overlap: int) -> str:
+    """For texts whose lines all fit: cuts at line ends only, with less overlap where a line leaves no room."""
     body = limit - overlap - 1
     return "(?sU)" + "|".join(
         (
@@ -50,8 +59,9 @@ def split_oversized(df: DataFrame, *, text: str, start_line: str, limit: int = 1
     Columns of df that have these names are replaced.
 
     A text within the limit comes out whole, with a null ``cut_kind``. Pieces are at most ``limit`` code points long;
-    each after the first begins with the last whole words of the one before, at most ``overlap`` characters of them and
-    fewer where the limit leaves no room (none after a cut inside a run without white space). Only white space at cuts
+    each after the first begins with the last whole words of the one before, at most ``overlap`` characters of them
+    (none after a cut inside a run without white space, where the last word alone is longer, or
+    before a line that fills the limit in a text of kind line). Only white space at cuts
     is left out, and pieces of nothing else. ``piece_start`` and ``piece_end`` are line numbers, counted from
     ``start_line``; they are null where that is null. A null text gives no row, an empty one a single empty piece.
     """
@@ -61,14 +71,16 @@ def split_oversized(df: DataFrame, *, text: str, start_line: str, limit: int = 1
     base = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(text).alias("_text"), F.col(start_line).alias("_line"))
     t = F.col("_text")
     long = F.length(t) > limit
-    rows = base.filter(t.isNotNull()).withColumn("_cuts", F.when(long, F.regexp_extract_all(t, F.lit(cut_pattern(limit, overlap)), F.lit(0))).otherwise(F.array(t)))
-    rows = rows.withColumn("_kind", F.when(long, cut_kind(t, limit)))
+    rows = base.filter(t.isNotNull()).withColumn("_cuts", F.array(t)).withColumn("_kind", F.when(long, cut_kind(t, limit)))
+    cuts = lambda pattern: F.regexp_extract_all(t, F.lit(pattern(limit, overlap)), F.lit(0))
+    rows = rows.withColumn("_cuts", F.when(F.col("_kind") == "line", cuts(line_pattern)).when(long, cuts(cut_pattern)).otherwise(F.array(t)))
+    most = lambda i: F.when((i == 0) | (F.col("_kind") == "line"), limit).otherwise(limit - overlap - 1)
     # Each cut as its body and the white space after it.
     parts = F.transform(
         "_cuts",
         lambda c, i: F.struct(
-            F.when(((i < F.size("_cuts") - 1) | (F.length(c) > limit)) & F.substring(c, -1, 1).rlike(r"(?U)\A\s\z"), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c).alias("body"),
-            F.when(((i < F.size("_cuts") - 1) | (F.length(c) > limit)) & F.substring(c, -1, 1).rlike(r"(?U)\A\s\z"), F.substring(c, -1, 1)).otherwise("").alias("gap"),
+            F.when(((i < F.size("_cuts") - 1) | (F.length(c) > most(i))) & F.substring(c, -1, 1).rlike(r"(?U)\A\s\z"), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c).alias("body"),
+            F.when(((i < F.size("_cuts") - 1) | (F.length(c) > most(i))) & F.substring(c, -1, 1).rlike(r"(?U)\A\s\z"), F.substring(c, -1, 1)).otherwise("").alias("gap"),
         ),
     )
     rows = rows.withColumn("_parts", parts).withColumn("_lines", F.transform("_cuts", lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))))

@@ -61,3 +61,14 @@ def test_pieces_tile_the_text(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, text string, line int")
     assert split_oversized(df, text="text", start_line="line").collect() == []
+
+
+def test_every_piece_keeps_its_whole_overlap(spark):
+    sentence = ("abcdefg " * 187).strip() + "."
+    texts = [" ".join([sentence] * 5), " ".join(["word"] * 1500) + "\n" + "tail " * 285]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id long, text string, line int")
+    rows = split_oversized(df, text="text", start_line="line").orderBy("id", "piece_no").collect()
+    for a, b in zip(rows, rows[1:]):
+        assert len(b.piece_text) <= 1500
+        if a.id == b.id:
+            assert 0 < b.overlap_chars <= 120 and a.piece_text.endswith(b.piece_text[: b.overlap_chars])
