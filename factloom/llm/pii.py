@@ -12,15 +12,17 @@ exact join with the learned table confirms them. Neither table is ever assumed s
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.session import cut, spread
@@ -43,38 +45,51 @@ _DIGIT_SET = frozenset(DIGIT_WORDS)
 AT, DOT = "at|ät|arroba|arobase", "dot|punkt|punto|point"
 
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_REWRITE = re.compile(
-    rf"(?P<invisible>[​-‏⁠﻿­])"
-    rf"|(?P<composed>\w[̀-ͯ]+)"
-    rf"|(?P<spelled>\b(?:{_DIGIT})(?:[ -]+(?:{_DIGIT})\b){{5,}})"
-    rf"|(?<=\w)(?P<at>\s*[(\[{{]\s*(?:{AT}|@)\s*[)\]}}]\s*)(?=\w)"
-    rf"|(?<=\w)(?P<dot>\s*[(\[{{]\s*(?:{DOT}|\.)\s*[)\]}}]\s*)(?=\w)"
-    rf"|(?<=\w)(?P<said>\s+(?:{AT})\s+[\w-]+(?:\s+(?:{DOT})\s+[\w-]+)+)"
-    rf"|(?<=\w)(?P<spaced>\s*@\s+|\s+@\s*)(?=[\w-]+(?:\.|\s*[(\[{{]\s*(?:{DOT})))",
-    re.I,
-)
+#: Rewriting rules in order of precedence.
+_RULES = {
+    "invisible": r"[\u200b-\u200f\u2060\ufeff\u00ad]",
+    "composed": r"\w[\u0300-\u036f]+",
+    "spelled": rf"\b(?:{_DIGIT})(?:[ -]+(?:{_DIGIT})\b){{5,}}",
+    "at": rf"(?<=\w)\s*[(\[{{]\s*(?:{AT}|@)\s*[)\]}}]\s*(?=\w)",
+    "dot": rf"(?<=\w)\s*[(\[{{]\s*(?:{DOT}|\.)\s*[)\]}}]\s*(?=\w)",
+    "said": rf"(?<=\w)\s+(?:{AT})\s+[\w-]+(?:\s+(?:{DOT})\s+[\w-]+)+",
+    "spaced": rf"(?<=\w)(?:\s*@\s+|\s+@\s*)(?=[\w-]+(?:\.|\s*[(\[{{]\s*(?:{DOT})))",
+}
 _SAID = re.compile(rf"\s+(?P<at>{AT})\s+|\s+(?P<dot>{DOT})\s+", re.I)
 _FOREIGN = re.compile("[" + "".join(re.escape(chr(c)) for c in HOMOGLYPHS) + "]")
 _SPOKEN_DOTS = tuple(f" {w} " for w in DOT.split("|"))
 _BRACKETED = re.compile(rf"[(\[{{]\s*(?:{AT}|{DOT}|@|\.)\s*[)\]}}]", re.I)
-_MARKS = re.compile("[̀-ͯ​-‏⁠﻿­]")
+_INVISIBLE, _COMBINING = re.compile(_RULES["invisible"]), re.compile(r"[\u0300-\u036f]")
+
+
+@lru_cache(maxsize=None)
+def _rewriting(rules: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(f"(?P<{r}>{_RULES[r]})" for r in rules), re.I)
 
 
-def _disguised(plain: str) -> bool:
-    """Whether a rewriting rule can apply; cheap tests only."""
-    if " @" in plain or "@ " in plain or not plain.isascii() and _MARKS.search(plain) or _BRACKETED.search(plain):
-        return True
+def _disguises(plain: str) -> tuple[str, ...]:
+    """The rules that may apply to a text, by cheap tests."""
+    found = []
+    if not plain.isascii():
+        found += ["invisible"] * bool(_INVISIBLE.search(plain)) + ["composed"] * bool(_COMBINING.search(plain))
     low = plain.lower()
-    if any(w in low for w in _SPOKEN_DOTS):
-        return True
     words = low.replace("-", " ").split()
-    return not _DIGIT_SET.isdisjoint(words) and sum(w.strip(",.;:") in _DIGIT_SET for w in words) >= 6
+    if not _DIGIT_SET.isdisjoint(words) and sum(w.strip(",.;:") in _DIGIT_SET for w in words) >= 6:
+        found.append("spelled")
+    if _BRACKETED.search(plain):
+        found += ["at", "dot"]
+    if any(w in low for w in _SPOKEN_DOTS):
+        found.append("said")
+    if " @" in plain or "@ " in plain:
+        found.append("spaced")
+    return tuple(found)
 
 
 def deobfuscate(text: str) -> tuple[str, np.ndarray | None]:
     """The plain form of a text, and for each of its characters and its end the offset in the source (None: the same)."""
     plain = text if text.isascii() or not _FOREIGN.search(text) else text.translate(HOMOGLYPHS)  # character for character
-    if not _disguised(plain):
+    rules = _disguises(plain)
+    if not rules:
         return plain, None
     out: list[str] = []
     at: list[int] = []
@@ -84,7 +99,7 @@ def deobfuscate(text: str) -> tuple[str, np.ndarray | None]:
         at.extend(range(a, b))
 
     done = 0
-    for m in _REWRITE.finditer(plain):
+    for m in _rewriting(rules).finditer(plain):
         copy(done, m.start())
         kind = m.lastgroup
         if kind in ("at", "dot", "spaced"):
@@ -142,15 +157,28 @@ _NO_ID = re.compile(r"(?:\binvoice|\border|\bticket|\bserial|\breference|\bpart|
 
 _SUFFIX = "street|st|road|rd|lane|ln|way|terrace|close|court|avenue|ave|boulevard|blvd|drive|place|square|crescent|gardens|mews|row|walk"
 _NOT_STREET = "bis|ter|quater|the|a|an|of|on|in|at|to|per|for|and|or|more|days?|hours?|minutes?|weeks?|boxes|rows|seats|items|lane|ring"
-_ADDRESS = re.compile(
-    r"(?<![\w/.,:$€£#-])(?:"
-    rf"\d{{1,5}}(?:-\d{{1,5}})?[a-z]?[ ]+(?:[nsew]\.?[ ]+|st\.?[ ]+|old[ ]+|new[ ]+|upper[ ]+|lower[ ]+|great[ ]+)?(?!(?:{_NOT_STREET})\b)[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*[ ]+(?:{_SUFFIX})\b(?:(?<=\brd)\.)?"
-    r"|\d{1,4}(?:[ ]?(?:bis|ter|quater))?,?[ ]+(?:rue|avenue|av\.|place|bd|boulevard|chemin|quai|impasse|allée|cours|route|passage|sentier)[ ]+(?:(?:de[ ]la|des|du|de|aux|au|à[ ]la)[ ]+|d['’]|de[ ]l['’])?[^\W\d_](?:[\w'’-]*\w)?"
-    r"|(?:[^\W\d_]+(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring|steig|markt)|[^\W\d_]+[ ](?:straße|strasse|str\.|platz|allee|gasse|weg|ring)|(?:am|an[ ]der|auf[ ]dem|im|zum|zur)[ ](?:alten?|neuen?|hohen?|langen?|grünen?|oberen?|unteren?)[ ][^\W\d_]+)[ ]+\d{1,4}[a-z]?(?!\w)"
-    r"|(?:calle|c/|avda\.|avenida|av\.|plaza|pza\.|paseo|camino|ronda|travesía)[ ]*(?:(?:de[ ]las|de[ ]los|de[ ]la|del|de)[ ]+)?[^\W\d_][\w-]*,?[ ]+(?:n[ºo°]\.?[ ]*)?\d{1,4}(?![\wº°])"
+_EDGE = r"[\w/.,:$€£#-]"
+# Number first: each begins with a digit, so that the search skips from digit to digit.
+_NUMBER_FIRST = re.compile(
+    rf"\d(?<!{_EDGE}\d)(?:"
+    rf"\d{{0,4}}(?:-\d{{1,5}})?[a-z]?[ ]+(?:[nsew]\.?[ ]+|st\.?[ ]+|old[ ]+|new[ ]+|upper[ ]+|lower[ ]+|great[ ]+)?(?!(?:{_NOT_STREET})\b)[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*[ ]+(?:{_SUFFIX})\b(?:(?<=\brd)\.)?"
+    r"|\d{0,3}(?:[ ]?(?:bis|ter|quater))?,?[ ]+(?:rue|avenue|av\.|place|bd|boulevard|chemin|quai|impasse|allée|cours|route|passage|sentier)[ ]+(?:(?:de[ ]la|des|du|de|aux|au|à[ ]la)[ ]+|d['’]|de[ ]l['’])?[^\W\d_](?:[\w'’-]*\w)?"
     r")",
     re.I,
 )
+# Number last: these begin with any word, so they run only on texts that hold one of their street words.
+_GERMAN = re.compile(
+    rf"(?<!{_EDGE})(?:[^\W\d_]+(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring|steig|markt)|[^\W\d_]+[ ](?:straße|strasse|str\.|platz|allee|gasse|weg|ring)"
+    r"|(?:am|an[ ]der|auf[ ]dem|im|zum|zur)[ ](?:alten?|neuen?|hohen?|langen?|grünen?|oberen?|unteren?)[ ][^\W\d_]+)[ ]+\d{1,4}[a-z]?(?!\w)",
+    re.I,
+)
+_SPANISH = re.compile(
+    rf"(?<!{_EDGE})(?:calle|c/|avda\.|avenida|av\.|plaza|pza\.|paseo|camino|ronda|travesía)[ ]*(?:(?:de[ ]las|de[ ]los|de[ ]la|del|de)[ ]+)?[^\W\d_][\w-]*,?[ ]+(?:n[ºo°]\.?[ ]*)?\d{{1,4}}(?![\wº°])",
+    re.I,
+)
+_GERMAN_WORDS = tuple("straße strasse str. gasse weg platz allee ufer damm ring steig markt".split()) + tuple(f" {w}" for w in "alte neue hohe lange grüne obere untere".split())
+_SPANISH_WORDS = tuple("calle c/ avda. avenida av. plaza pza. paseo camino ronda travesía".split())
+_CAPITALS, _DIGIT_CHAR = re.compile(r"[A-Z]{9}"), re.compile(r"\d")
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _BETWEEN = re.compile(r"[ \t]{1,3}\Z|[ \t]*\n[ \t]{0,4}\Z")
@@ -158,33 +186,79 @@ _COMMA = re.compile(r",[ \t]{1,2}\Z")
 _INITIAL = re.compile(r"\.[ \t]{0,2}\Z|\.[ \t]*\n[ \t]{0,4}\Z")
 _TITLE = re.compile(r"(?:\b(?:dr|mr|mrs|ms|prof|sr|sra|srta|hr|herr|frau|mme|mlle|don|doña)\b\.?[ ]+)\Z", re.I)
 
-#: Everyday words: two of them in lower case are no name.
-_VERBS, _THINGS = frozenset("will may mark grant dawn rose".split()), frozenset("marsh frost bell stone field brook".split())
+_HANDLE = re.compile(r"\S*@\S*")
+_CLAUSE_START = re.compile(r"[\n;|]|[.!?] (?=[A-ZÀ-Þ])")
+_CLAUSE_END = re.compile(r"[\n;|]|[.!?](?: |\Z)")
+
+
+class _Taken:
+    """Disjoint intervals in order of their starts."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()) -> None:
+        self.spans = sorted(spans)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect.bisect_left(self.spans, (b, b))
+        return k == 0 or self.spans[k - 1][1] <= a
+
+    def add(self, a: int, b: int) -> bool:
+        fits = self.free(a, b)
+        if fits:
+            bisect.insort(self.spans, (a, b))
+        return fits
+
+
+class _Clauses:
+    """The clauses of a text: what stands in one line between semicolons, bars and sentence ends."""
+
+    def __init__(self, plain: str) -> None:
+        self.plain = plain
+        self.starts: list[int] | None = None
+
+    def before(self, a: int) -> str:
+        if self.starts is None:
+            self.starts = [0, *(m.end() for m in _CLAUSE_START.finditer(self.plain))]
+        k = bisect.bisect_right(self.starts, a) - 1
+        if k and self.starts[k] == a and self.plain[a - 1] == " ":  # a period just before is that of an abbreviation
+            k -= 1
+        return self.plain[self.starts[k] : a]
+
+    def after(self, b: int) -> str:
+        m = _CLAUSE_END.search(self.plain, b)
+        return self.plain[b : m.start() if m else len(self.plain)]
+
+
+def _last(pattern: re.Pattern, text: str) -> int:
+    """Where the last match ends; -1 without one."""
+    return max((m.end() for m in pattern.finditer(text)), default=-1)
 
 
 def detect(text: str) -> tuple[str, np.ndarray | None, list[tuple[str, int, int]]]:
     """The plain text, its offsets, and the spans (type, start, end in the plain text) of all but names."""
     plain, at = deobfuscate(text)
     spans: list[tuple[str, int, int]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for _, x, y in spans)
-
     if "@" in plain:
         spans += [("email", m.start(), m.end()) for m in _EMAIL.finditer(plain) if "." not in m.group().split("@")[0][-1:]]
-    if re.search(r"\d", plain) or "ausweis" in plain.lower() or "identity" in plain.lower():
-        for m in _ADDRESS.finditer(plain):
-            if free(*m.span()):
-                spans.append(("address", *m.span()))
+    digits = _DIGIT_CHAR.search(plain)
+    if digits or _CAPITALS.search(plain):
+        taken, clauses = _Taken((a, b) for _, a, b in spans), _Clauses(plain)
+        if digits:
+            places = [m.span() for m in _NUMBER_FIRST.finditer(plain)]
+            low = plain.lower()
+            if any(w in low for w in _GERMAN_WORDS):
+                places += [m.span() for m in _GERMAN.finditer(plain)]
+            if any(w in low for w in _SPANISH_WORDS):
+                places += [m.span() for m in _SPANISH.finditer(plain)]
+            spans += [("address", a, b) for a, b in sorted(places) if taken.add(a, b)]
         for m in _ID.finditer(plain):
             a, b = m.span()
-            before, after = re.split(r"[\n;|]|[.!?] (?=[A-ZÀ-Þ])", plain[max(0, a - 60) : a])[-1], re.split(r"[\n;|]|[.!?](?: |\Z)", plain[b : b + 45])[0]
-            cue = _ID_CUE.search(before) or _ID_CUE.search(after)
-            if cue and not _NO_ID.search(before) and free(a, b):
+            before = clauses.before(a)
+            cue, other = _last(_ID_CUE, before), _last(_NO_ID, before)  # the nearer one tells what the number is
+            if (cue > other or cue == other and _ID_CUE.search(clauses.after(b))) and taken.add(a, b):
                 spans.append(("id_number", a, b))
-        for m in _PHONE.finditer(plain):
+        for m in _PHONE.finditer(plain) if digits else ():
             a, b = m.span()
-            if 8 <= sum(c.isdigit() for c in m.group()) <= 15 and free(a, b) and not _NO_PHONE.search(plain[max(0, a - 30) : a]):
+            if 8 <= sum(c.isdigit() for c in m.group()) <= 15 and not _NO_PHONE.search(clauses.before(a)) and taken.add(a, b):
                 spans.append(("phone", a, b))
     return plain, at, spans
 
@@ -199,61 +273,99 @@ def source_span(at: np.ndarray | None, a: int, b: int, plain: str, text: str) ->
     return start, end
 
 
+#: Different words counted in a task before the counts are handed on.
+MOST_WORDS = 1_000_000
+
+
 def word_evidence(known: dict[str, set[str]]):
-    """Counts of capitalised words, and of their use beside known parts of names: (word, kind, partner, n)."""
+    """Counts of words by case, and of capitalised words beside known parts of names: (word, kind, partner, n)."""
+    given, family = known["given"], known["family"]
+    spelled = {f(w) for part in known.values() for w in part for f in (str.lower, str.upper, str.title, str.capitalize, _titled)}
+
+    def beside(plain: str, seen: Counter) -> None:
+        words = [m for m in _WORD.finditer(plain) if m.group()[0].isupper()]
+        for k, m in enumerate(words):
+            word = m.group()
+            if len(word) < 2 or word.isupper():
+                continue
+            low = word.casefold()
+            prev, nxt = (words[k - 1] if k else None), (words[k + 1] if k + 1 < len(words) else None)
+            p, n = prev.group().casefold() if prev else "", nxt.group().casefold() if nxt else ""
+            left, right = plain[prev.end() : m.start()] if prev else "", plain[m.end() : nxt.start()] if nxt else ""
+            if p in given and _BETWEEN.match(left) and low not in given and not (k > 1 and _COMMA.match(plain[words[k - 2].end() : prev.start()])):
+                seen[low, "family", p] += 1
+            elif n in given and _COMMA.match(right):
+                seen[low, "family", n] += 1
+            if n in family and _BETWEEN.match(right) and low not in family and not (k + 2 < len(words) and _COMMA.match(plain[nxt.end() : words[k + 2].start()])) and not _TITLE.search(word + " "):
+                seen[low, "given", n] += 1
+            elif p in family and _COMMA.match(left):
+                seen[low, "given", p] += 1
+
+    def told(uses: Counter, seen: Counter) -> pa.RecordBatch:
+        for word, n in uses.items():
+            if n > 0 and len(word) > 1 and not word.isupper():
+                seen[word.casefold(), "capital" if word[0].isupper() else "lower", ""] += n
+        keys = list(seen)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([seen[k] for k in keys], pa.int64())], ["word", "kind", "partner", "n"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given, family = known["given"], known["family"]
+        uses, seen = Counter(), Counter()
         for batch in batches:
-            seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 plain, _ = deobfuscate(text)
-                words = [m for m in _WORD.finditer(plain) if m.group()[0].isupper()]
-                for k, m in enumerate(words):
-                    word = m.group()
-                    if len(word) < 2 or word.isupper():
-                        continue
-                    low = word.casefold()
-                    seen[low, "all", ""] += 1
-                    prev, nxt = (words[k - 1] if k else None), (words[k + 1] if k + 1 < len(words) else None)
-                    p, n = prev.group().casefold() if prev else "", nxt.group().casefold() if nxt else ""
-                    left, right = plain[prev.end() : m.start()] if prev else "", plain[m.end() : nxt.start()] if nxt else ""
-                    if p in given and _BETWEEN.match(left) and low not in given and not (k > 1 and _COMMA.match(plain[words[k - 2].end() : prev.start()])):
-                        seen[low, "family", p] += 1
-                    elif n in given and _COMMA.match(right):
-                        seen[low, "family", n] += 1
-                    if n in family and _BETWEEN.match(right) and low not in family and not (k + 2 < len(words) and _COMMA.match(plain[nxt.end() : words[k + 2].start()])) and not _TITLE.search(word + " "):
-                        seen[low, "given", n] += 1
-                    elif p in family and _COMMA.match(left):
-                        seen[low, "given", p] += 1
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([seen[k] for k in keys], pa.int64())], ["word", "kind", "partner", "n"]
-            )
+                words = _WORD.findall(plain)
+                uses.update(words)
+                if "@" in plain:  # mail addresses and handles are no uses of a word
+                    for handle in _HANDLE.findall(plain):
+                        uses.subtract(_WORD.findall(handle))
+                if not spelled.isdisjoint(words):
+                    beside(plain, seen)
+            if len(uses) > MOST_WORDS:
+                yield told(uses, seen)
+                uses, seen = Counter(), Counter()
+        yield told(uses, seen)
 
     return run
 
 
-def name_lexicon(texts: DataFrame, parts: DataFrame, *, partners: int = 2, share: float = 0.3) -> DataFrame:
-    """(word, kind) of all known and learned parts of names, in folded case; kind is given or family.
+def _titled(name: str) -> str:
+    return "-".join(x.capitalize() for x in name.split("-"))
+
+
+def name_lexicon(texts: DataFrame, parts: DataFrame, *, partners: int = 2, share: float = 0.3, everyday: float = 0.5, most_parts: int = 100_000) -> DataFrame:
+    """(word, kind, is_everyday) of all known and learned parts of names, in folded case; kind is given or family.
 
     A word is learned when it stands beside at least ``partners`` different known parts of the other kind, in the
-    right order, in at least ``share`` of its capitalised uses. ``texts`` has the one column text; ``parts`` has
-    name_part and part_kind and is a table of bounded size that the user maintains.
+    right order, in at least ``share`` of its capitalised uses; beside a single known part, when it has no other use at
+    all. A word is everyday when at least that share of all its uses is in lower case. ``texts`` has the one column
+    text; ``parts`` has name_part and part_kind and is a table the user maintains, of at most ``most_parts`` rows (a
+    larger one is an error).
     """
-    rows = parts.filter("name_part is not null and part_kind in ('given', 'family')").distinct().collect()
+    rows = parts.filter("name_part is not null and part_kind in ('given', 'family')").select("name_part", "part_kind").distinct().limit(most_parts + 1).collect()
+    if len(rows) > most_parts:
+        raise ValueError(f"more than {most_parts} known parts of names")
     known = {k: {r["name_part"].casefold() for r in rows if r["part_kind"] == k} for k in ("given", "family")}
     counts = texts.mapInArrow(word_evidence(known), "word string, kind string, partner string, n bigint").groupBy("word", "kind", "partner").agg(F.sum("n").alias("n"))
     by_word = counts.groupBy("word").agg(
         *[F.count_if((F.col("kind") == k) & (F.col("partner") != "")).alias(f"{k}_partners") for k in ("given", "family")],
-        *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{k}_n") for k in ("given", "family", "all")],
+        *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{k}_n") for k in ("given", "family", "capital", "lower")],
     )
-    learned = [
-        by_word.filter((F.col(f"{k}_partners") >= partners) & (F.col(f"{k}_n") >= share * F.col("all_n"))).select("word", F.lit(k).alias("kind")) for k in ("given", "family")
-    ]
     spark = texts.sparkSession
-    base = spark.createDataFrame([(w, k) for k in known for w in sorted(known[k])], "word string, kind string")
-    return cut(learned[0].unionByName(learned[1]).unionByName(base).distinct())
+    base = spark.createDataFrame([(w, k, True) for k in known for w in sorted(known[k])], "word string, part string, is_known boolean")
+    base = base.groupBy("word").agg(*[F.coalesce(F.max(F.when(F.col("part") == k, F.col("is_known"))), F.lit(False)).alias(f"known_{k}") for k in ("given", "family")])
+    joined = by_word.join(base, "word", "full").fillna(0).fillna(False)
+
+    def fits(k: str) -> Column:
+        some = (F.col(f"{k}_partners") >= partners) & (F.col(f"{k}_n") >= share * F.col("capital"))
+        alone = (F.col(f"{k}_partners") == 1) & (F.col(f"{k}_n") >= 2) & (F.col(f"{k}_n") == F.col("capital")) & (F.col("lower") == 0)
+        return F.col(f"known_{k}") | some | alone
+
+    joined = joined.withColumnsRenamed({"capital_n": "capital", "lower_n": "lower"})
+    kinds = F.array(*[F.when(fits(k), F.lit(k)) for k in ("given", "family")])
+    told = joined.select("word", F.explode(F.array_compact(kinds)).alias("kind"), ((F.col("lower") > 0) & (F.col("lower") >= everyday * (F.col("lower") + F.col("capital")))).alias("is_everyday"))
+    return cut(told)
 
 
 BLOOM_BITS = 23
@@ -281,8 +393,10 @@ def bloom_has(bloom: bytes, word: str) -> bool:
     return bool(bloom[(b - 1) >> 3] >> ((b - 1) & 7) & 1)
 
 
-def name_candidates(plain: str, maybe, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str]]:
+def name_candidates(plain: str, maybe) -> list[tuple[int, int, str, str]]:
     """(start, end, given or "" for an initial, family) of word pairs that may be names."""
+    if not any(map(maybe, set(_WORD.findall(plain)))):
+        return []
     found = []
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(plain)]
     for i, (a, b, w) in enumerate(words):
@@ -306,11 +420,8 @@ def name_candidates(plain: str, maybe, taken: list[tuple[str, int, int]]) -> lis
         if pair is None:
             continue
         s, e, g, f = pair
-        if any(not (e <= x or s >= y) for _, x, y in taken) or plain[s - 1 : s] in ("@", "/") or plain[e : e + 1] in ("@",):
-            continue
-        if plain[s:e] == plain[s:e].lower() and g.casefold() in _VERBS and f.casefold() in _THINGS:
-            continue
-        found.append((s, e, g.casefold(), f.casefold()))
+        if plain[s - 1 : s] not in ("@", "/") and plain[e : e + 1] != "@":
+            found.append((s, e, g.casefold(), f.casefold()))
     return found
 
 
@@ -323,7 +434,7 @@ def _spans(bloom: bytes):
             if hit is None:
                 if len(memo) > 300_000:
                     memo.clear()
-                hit = memo[word] = bloom_has(bloom, word.casefold())
+                hit = memo[word] = len(word) > 1 and bloom_has(bloom, word.casefold())
             return hit
 
         for batch in batches:
@@ -334,14 +445,17 @@ def _spans(bloom: bytes):
                 plain, at, spans = detect(text)
                 for kind, a, b in spans:
                     s, e = source_span(at, a, b, plain, text)
-                    rows.append((k, kind, s, e, text[s:e], None, None))
-                for a, b, given, family in name_candidates(plain, maybe, spans):
-                    s, e = source_span(at, a, b, plain, text)
-                    rows.append((k, "person", s, e, text[s:e], given, family))
-            cols = list(zip(*rows)) if rows else [[]] * 7
+                    rows.append((k, kind, s, e, text[s:e], None, None, None))
+                names = name_candidates(plain, maybe)
+                taken = _Taken((a, b) for _, a, b in spans) if names else None
+                for a, b, given, family in names:
+                    if taken.free(a, b):
+                        s, e = source_span(at, a, b, plain, text)
+                        rows.append((k, "person", s, e, text[s:e], given, family, plain[a:b] == plain[a:b].lower()))
+            cols = list(zip(*rows)) if rows else [[]] * 8
             ids = batch.column(0).take(pa.array(cols[0], pa.int64()))
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols[1:], kinds))], ["id", "pii_type", "start", "end", "pii_text", "given", "family"])
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols[1:], kinds))], ["id", "pii_type", "start", "end", "pii_text", "given", "family", "small"])
 
     return run
 
@@ -350,17 +464,19 @@ def find_pii(df: DataFrame, parts: DataFrame, *, id: str, text: str) -> DataFram
     """(<id>, pii_type, start int, end int, pii_text): every passage of every text, offsets in code points.
 
     ``pii_text`` is text[start:end] as written, without labels, titles or markup. Types: email, phone, id_number (only
-    where words beside it say so), address (house number and street), person (given name or initial with family name).
+    where words of its clause say so), address (house number and street), person (given name or initial with family name).
     Null and empty texts have no passages; rows with one id are taken as they come, so equal rows give equal passages
-    once. With no known name parts only names after a title can't be told, and none are reported. Whole texts are read.
+    once. Two words that are everyday ones by their counts are no name where both stand in lower case. Without known name
+    parts no names are reported. Whole texts are read.
     """
     kind = df.schema[id].dataType.simpleString()
     rows = spread(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "id")
     lexicon = name_lexicon(rows.select("text").filter("text is not null"), parts)
-    spans = rows.mapInArrow(_spans(bloom_of(lexicon)), f"id {kind}, pii_type string, start int, end int, pii_text string, given string, family string")
-    family = lexicon.filter("kind = 'family'").select(F.col("word").alias("family"), F.lit(True).alias("is_family"))
-    given = lexicon.filter("kind = 'given'").select("word").unionByName(df.sparkSession.createDataFrame([("",)], "word string")).select(F.col("word").alias("given"), F.lit(True).alias("is_given"))
-    told = spans.join(family, "family", "left").join(given, "given", "left").filter("pii_type != 'person' or (is_family and is_given)")
+    spans = rows.mapInArrow(_spans(bloom_of(lexicon)), f"id {kind}, pii_type string, start int, end int, pii_text string, given string, family string, small boolean")
+    part = lambda k: lexicon.filter(F.col("kind") == k).select(F.col("word").alias(k), F.col("is_everyday").alias(f"{k}_everyday"))
+    initials = df.sparkSession.createDataFrame([("", False)], "given string, given_everyday boolean")
+    told = spans.join(part("family"), "family", "left").join(part("given").unionByName(initials), "given", "left")
+    told = told.filter("pii_type != 'person' or (family_everyday is not null and given_everyday is not null and not (small and family_everyday and given_everyday))")
     return told.select(F.col("id").alias(id), "pii_type", "start", "end", "pii_text").distinct()
 
 
