@@ -12,36 +12,77 @@ The model is a matrix of fixed size (buckets x classes) whatever the corpus; onl
 
 from __future__ import annotations
 
+import hashlib
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.values import nfc
-from factloom.session import cut
+from factloom.session import spread, stored
 
-BUCKETS = 1 << 17
+BUCKET_BITS = 17
+BUCKETS = 1 << BUCKET_BITS
 #: How likely none of its labels is for a sentence of a labelled document at first, against one label.
 FIRST_NONE = 0.2
 
 
-def sentences(composed: Column) -> Column:
-    """Sentences of a Markdown note in lower case, without front matter, headings, fences and list marks."""
-    body = F.regexp_replace(composed, r"(?s)\A\x{FEFF}?\s*---[ \t]*\R.*?\R(?:---|\.\.\.)[ \t]*(?=\R|\z)", "")
-    lines = F.filter(F.split(F.lower(body), r"\R"), lambda x: ~x.rlike(r"^\s{0,3}(?:#{1,6}\s|```|~~~)"))
-    bare = F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^[\s>|]*(?:[-*+•]\s+|\d+[.)]\s+)?", ""))
-    parts = F.flatten(F.transform(bare, lambda x: F.split(x, r"(?U)(?<=[.!?…])[\s\"'»”)]+")))
-    return F.filter(parts, lambda x: x.rlike(r"\p{L}"))
+_MATTER = re.compile(r"\A\ufeff?\s*---[ \t]*\r?\n.*?\n(?:---|\.\.\.)[ \t]*(?=\r?\n|\Z)", re.S)
+_SKIPPED = re.compile(r"^[ \t]{0,3}(?:#{1,6}[ \t]|```|~~~).*$", re.M)
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?…](?=[\s\"'»”)])|[\n\r\v\f\x85\u2028\u2029]")
+_STOP = frozenset(".!?…\n\r\v\f\x85\u2028\u2029")
+#: Words remembered by a task with their hashes.
+MOST_WORDS = 1_000_000
 
 
-def hashed(sentence: Column) -> Column:
-    """Bucket numbers of the words and the pairs of adjacent words."""
-    words = F.regexp_extract_all(sentence, F.lit(r"(?U)[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*"), F.lit(0))
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")
-    return F.transform(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())), bucket)
+def tokens_of(text: str) -> list[str]:
+    """The words of a Markdown note in lower case, and a mark (one of _STOP) wherever a sentence or line ends.
+
+    Front matter, headings and the lines of fences themselves are left out.
+    """
+    return _TOKEN.findall(_SKIPPED.sub("", _MATTER.sub("", unicodedata.normalize("NFC", text), count=1)).lower())
+
+
+def _word_hash(word: str) -> int:
+    return -1 if word in _STOP else int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "little") >> 1
+
+
+def hashed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of words and of pairs of adjacent words, sentence by sentence, and how many each sentence has.
+
+    ``codes`` are hashes of words, -1 where a sentence ends.
+    """
+    word = codes >= 0
+    sentence = np.cumsum(~word)[word]
+    codes = codes[word].astype(np.uint64)
+    if not len(codes):
+        return np.empty(0, np.int32), np.empty(0, np.int32)
+    pair = sentence[1:] == sentence[:-1]
+    two = ((codes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (codes[1:] * np.uint64(0xC2B2AE3D27D4EB4F)))[pair]
+    mixed = lambda x: ((x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    flat, owner = np.concatenate([mixed(codes), mixed(two ^ (two >> np.uint64(29)))]), np.concatenate([sentence, sentence[1:][pair]])
+    _, sizes = np.unique(owner, return_counts=True)
+    return flat[np.argsort(owner, kind="stable")], sizes.astype(np.int32)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo: dict[str, int] = {}
+    for batch in batches:
+        if len(memo) > MOST_WORDS:
+            memo = {}
+        flats, sizes = [], []
+        for text in batch.column(2).to_pylist():
+            words = tokens_of(text)
+            for w in set(words).difference(memo):
+                memo[w] = _word_hash(w)
+            flat, size = hashed(np.array([memo[w] for w in words], np.int64))
+            flats.append(flat)
+            sizes.append(size)
+        lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(flats), lists(sizes)], ["id", "mask", "flat", "sizes"])
 
 
 def complement_weights(counts: np.ndarray, n_class: np.ndarray, alpha: float) -> np.ndarray:
@@ -66,16 +107,13 @@ def posteriors(weights: np.ndarray, prior: np.ndarray, flat: np.ndarray, sizes:
     return p / p.sum(1, keepdims=True)
 
 
-def _unpack(batch: pa.RecordBatch, classes: int):
-    """Flat buckets, sentence sizes, the document of each sentence, and the classes its labels allow."""
-    docs, labels = batch.column(1), batch.column(2)
-    per_doc = docs.value_lengths().to_numpy(zero_copy_only=False)
-    inner = docs.flatten()
-    sizes = inner.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = inner.flatten().to_numpy(zero_copy_only=False)
-    mask = labels.to_numpy(zero_copy_only=False).astype(np.int64)
-    owner = np.repeat(np.arange(len(per_doc)), per_doc)
-    return flat, sizes, owner, per_doc, mask
+def _unpack(batch: pa.RecordBatch):
+    """Flat buckets, sentence sizes, the document of each sentence, its number of sentences, and what its labels allow."""
+    per_doc = batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
+    sizes = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+    mask = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return flat, sizes, np.repeat(np.arange(len(per_doc)), per_doc), per_doc, mask
 
 
 def _allowed(mask: np.ndarray, classes: int) -> np.ndarray:
@@ -90,7 +128,7 @@ def _expect(weights: np.ndarray | None, prior: np.ndarray, classes: int, unlabel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n_class = np.zeros((classes, BUCKETS)), np.zeros(classes)
         for batch in batches:
-            flat, sizes, owner, _, mask = _unpack(batch, classes)
+            flat, sizes, owner, _, mask = _unpack(batch)
             if not len(sizes):
                 continue
             allowed = _allowed(mask, classes)[owner]
@@ -125,34 +163,49 @@ def _gather(docs: DataFrame, weights: np.ndarray | None, prior: np.ndarray, clas
 def _share(weights: np.ndarray, prior: np.ndarray, classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, sizes, owner, per_doc, mask = _unpack(batch, classes)
+            flat, sizes, owner, per_doc, mask = _unpack(batch)
             share = np.zeros((len(per_doc), classes))
             if len(sizes):
                 p = posteriors(weights, prior, flat, sizes, np.ones((len(sizes), classes), bool))
                 for c in range(classes):
                     share[:, c] = np.bincount(owner, weights=p[:, c], minlength=len(per_doc)) / np.maximum(per_doc, 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(per_doc.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(share.ravel()), classes).cast(pa.list_(pa.float64()))], ["id", "mask", "n_sentences", "share"]
+                [batch.column(0), batch.column(1), pa.array(per_doc.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(share.ravel()), classes).cast(pa.list_(pa.float64()))], ["id", "mask", "n_sentences", "share"]
             )
 
     return run
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, start: tuple[float, float] = (20.0, -3.4), ridge: float = 0.02) -> tuple[float, float]:
+def fit_curve(x: np.ndarray, y: np.ndarray, start: tuple[float, float] = (20.0, -3.4), ridge: float = 0.02, wrong: float = 0.02) -> tuple[float, float]:
     """Slope and offset of the logistic curve of y on x, drawn towards ``start`` where there are few cases.
 
-    Cases that contradict their label outright (a labelled subject in hardly a sentence, an unlabelled one in more than
-    half of them) count as wrong labels and are left out.
+    All cases take part. Labels may be wrong: the share of wrong ones (``wrong`` at first) is estimated with the curve by
+    expectation-maximization, each label counting as the mixture of what it says and its opposite.
     """
-    sane = ~((y > 0.5) & (x < 0.05) | (y < 0.5) & (x > 0.5))
-    x, y = x[sane], y[sane]
+    curve = _logistic(x, y, start, ridge)
+    for _ in range(50):
+        p = np.clip(1 / (1 + np.exp(-np.clip(curve[0] * x + curve[1], -500, 500))), 1e-9, 1 - 1e-9)
+        agree = np.where(y > 0.5, p, 1 - p)
+        flipped = wrong * (1 - agree) / (wrong * (1 - agree) + (1 - wrong) * agree)
+        new = _logistic(x, y * (1 - flipped) + (1 - y) * flipped, start, ridge)
+        wrong = float(np.clip(flipped.mean() if len(x) else wrong, 1e-4, 0.2))
+        done = abs(new[0] - curve[0]) + abs(new[1] - curve[1]) < 1e-4
+        curve = new
+        if done:
+            break
+    return curve
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, start: tuple[float, float], ridge: float) -> tuple[float, float]:
+    """The ridge regression behind fit_curve, by Newton steps with halving."""
+
     def loss(a: float, b: float) -> float:
         z = a * x + b
         return float(np.sum(np.logaddexp(0, z) - y * z) + ridge / 2 * ((a - start[0]) ** 2 + (b - start[1]) ** 2))
 
     a, b = start
     now = loss(a, b)
-    for _ in range(100):
+    while True:
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500)))
         w = p * (1 - p)
         g = np.array([(p - y) @ x + ridge * (a - start[0]), (p - y).sum() + ridge * (b - start[1])])
@@ -162,10 +215,9 @@ def fit_curve(x: np.ndarray, y: np.ndarray, start: tuple[float, float] = (20.0,
             size /= 2
         a, b = a - size * step[0], b - size * step[1]
         new = loss(a, b)
-        if now - new < 1e-9:
-            break
+        if now - new < 1e-9:  # the loss is convex and falls with every step
+            return float(a), float(b)
         now = new
-    return float(a), float(b)
 
 
 def assign_subjects(
@@ -189,8 +241,8 @@ def assign_subjects(
     code = F.coalesce(F.element_at(F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(1 << k))]), F.lower(F.trim(F.col(subject)))), F.when(F.col(subject).isNull(), F.lit(0)))
     masks = labels.select(F.col(id).alias("id"), code.cast("long").alias("bit")).filter("id is not null and bit is not null").groupBy("id").agg(F.bit_or("bit").alias("mask"))
     rows = documents.select(F.col(id).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
-    parts = rows.withColumn("composed", nfc(F.col("text"))).select("id", F.transform(sentences(F.col("composed")), hashed).alias("feats"))
-    docs = cut(parts.join(masks, "id", "left").select("id", "feats", F.coalesce("mask", F.lit(-1)).alias("mask")))
+    told = spread(rows, "id").join(masks, "id", "left").select("id", F.coalesce("mask", F.lit(-1)).alias("mask"), "text")
+    docs = stored(told.mapInArrow(_features, f"id {kind}, mask bigint, flat array<int>, sizes array<int>"))
     empty = spark.createDataFrame([], f"`{id}` {kind}, subject string, share double, probability double")
     labelled = docs.filter("mask >= 0")
     prior = np.zeros(classes)
@@ -202,11 +254,12 @@ def assign_subjects(
         prior = np.log((n_class + 1) / (n_class.sum() + classes))
         counts, n_class = _gather(labelled if k < 2 else docs, complement_weights(counts, n_class, alpha), prior, classes, unlabelled)
     prior = np.log((n_class + 1) / (n_class.sum() + classes))
-    shares = docs.mapInArrow(_share(complement_weights(counts, n_class, alpha), prior, classes), f"id {kind}, mask bigint, n_sentences int, share array<double>")
-    known = shares.filter("mask >= 0 and n_sentences > 0").orderBy(F.xxhash64("id")).limit(max_calibration).select("mask", "share").toArrow()
+    share_of = lambda some: some.mapInArrow(_share(complement_weights(counts, n_class, alpha), prior, classes), f"id {kind}, mask bigint, n_sentences int, share array<double>").filter("n_sentences > 0")
+    known = share_of(labelled.orderBy(F.xxhash64("id")).limit(max_calibration)).select("mask", "share").toArrow()
+    shares = share_of(docs)
     mask, share = known["mask"].to_numpy(), np.array(known["share"].to_pylist()).reshape(-1, classes)
     curves = [fit_curve(share[:, k], ((mask >> k) & 1).astype(float)) for k in range(classes - 1)]
     table = F.array(*[F.struct(F.lit(n).alias("subject"), F.lit(k).alias("at"), F.lit(a).alias("slope"), F.lit(b).alias("offset")) for k, (n, (a, b)) in enumerate(zip(names, curves))])
-    told = shares.filter("n_sentences > 0").select("id", "share", F.explode(table).alias("s")).withColumn("x", F.get("share", F.col("s.at")))
+    told = shares.select("id", "share", F.explode(table).alias("s")).withColumn("x", F.get("share", F.col("s.at")))
     told = told.withColumn("probability", 1 / (1 + F.exp(-(F.col("x") * F.col("s.slope") + F.col("s.offset")))))
     return told.filter(F.col("probability") >= least).select(F.col("id").alias(id), F.col("s.subject").alias("subject"), F.col("x").alias("share"), "probability").distinct()

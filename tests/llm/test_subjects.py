@@ -2,8 +2,7 @@ import random
 
 import numpy as np
 
-from factloom.llm.subjects import assign_subjects, complement_weights, fit_curve, hashed, posteriors, sentences
-from pyspark.sql import functions as F
+from factloom.llm.subjects import BUCKETS, assign_subjects, complement_weights, fit_curve, hashed, posteriors, tokens_of
 
 WORDS = {"sport": "goal keeper sprint podium league referee".split(), "cooking": "dough oven simmer spice whisk batter".split(), "law": "court appeal clause verdict lease notary".split()}
 FILLER = ["Nothing else to add for now.", "Keep this short.", "Too tired to finish this today.", "Follow up next week."]
@@ -47,10 +46,14 @@ def test_nothing_to_learn_from(spark):
     assert assign_subjects(df.limit(0), spark.createDataFrame([(1, "law")], "doc_id long, subject string"), ["law"], id="doc_id", text="text").collect() == []
 
 
-def test_sentences_and_buckets(spark):
-    text = "---\ntitle: x\n---\n# Head\n- One two. Three!\n\n2) four\n```\n...\n"
-    row = spark.createDataFrame([(text,)], "t string").select(sentences(F.col("t")).alias("s")).withColumn("f", F.transform("s", hashed)).first()
-    assert row.s == ["one two.", "three!", "four"] and [len(x) for x in row.f] == [3, 1, 1]
+def test_sentences_and_buckets():
+    words = tokens_of("\ufeff---\ntitle: x\n---\n# Head\n- One two. Three!\n\n2) four\n```\n...\n")
+    assert [w for w in words if w.isalpha()] == ["one", "two", "three", "four"]
+    code = {"one": 11, "two": 22, "three": 33, "four": 44}
+    flat, sizes = hashed(np.array([code.get(w, -1) for w in words]))
+    assert sizes.tolist() == [3, 1, 1] and flat.min() >= 0 and flat.max() < BUCKETS
+    again, _ = hashed(np.array([11, 22, -1, 33, -1, 44, -1]))
+    assert flat.tolist() == again.tolist() and hashed(np.array([-1, -1]))[0].size == 0
 
 
 def test_posteriors_match_plain_loop():
