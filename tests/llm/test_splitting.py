@@ -40,6 +40,8 @@ def test_pieces_tile_the_text(spark):
             begin = t.index(p.piece_text, at - p.overlap_chars if p.overlap_chars else at)
             body_at = begin + (p.overlap_chars + 1 if p.overlap_chars else 0)
             assert t[at:body_at].strip() == ""
+            if prev is not None and not p.overlap_chars:  # inside a run, or after a word longer than the overlap
+                assert not t[at : at + 1].isspace() or len(re.split(r"\s", prev)[-1]) > OVERLAP or prev[-1].isspace()
             at = begin + len(p.piece_text)
             assert p.piece_start == 5 + t[:begin].count("\n") and p.piece_end == 5 + t[:at].count("\n")
             prev = p.piece_text
@@ -53,7 +55,7 @@ def test_pieces_tile_the_text(spark):
         else:
             kind = "word" if max(map(len, re.split(r"\s+", t))) <= LIMIT else "char"
         assert all(p.cut_kind == kind for p in pieces)
-        if kind == "line":
+        if max(map(len, lines)) <= LIMIT - OVERLAP - 1:  # lines that leave room for the overlap are never cut
             ends = {e for e in range(len(t) + 1) if e == len(t) or t[e] == "\n"}
             assert all(e in ends for e in stops)
 
