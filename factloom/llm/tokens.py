@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from factloom.session import spread
@@ -22,7 +24,7 @@ def encoding(path: str):
     if path not in _loaded:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         _loaded[path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _loaded[path]
@@ -39,7 +41,12 @@ def _counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def token_counts(df: DataFrame, id: str, text: str, vocabulary: str = DEFAULT_VOCABULARY, keep: str | None = None) -> DataFrame:
-    """(id, n_tokens int[, keep]) of every row; a null or empty text has no tokens. Whole texts are encoded."""
+    """(id, n_tokens int[, keep]) of every row; a null or empty text has no tokens. Whole texts are encoded.
+
+    ``vocabulary`` is a file on the driver, sent to the executors with the job, or one that they all have at this place.
+    """
+    if os.path.exists(vocabulary):
+        df.sparkSession.sparkContext.addFile(vocabulary)
     cols = [df[id].alias("id"), df[text].alias("text")] + ([df[keep].alias("keep")] if keep else [])
     kind = lambda c: df.schema[c].dataType.simpleString()
     schema = f"id {kind(id)}, n_tokens int" + (f", keep {kind(keep)}" if keep else "")

@@ -33,6 +33,13 @@ def test_shares_caps_and_report(spark):
     assert sum(r.actual_share for r in rep.values()) == pytest.approx(1)
 
 
+def test_texts_of_one_id_count_apart_and_rows_twice_count_once(spark):
+    df = spark.createDataFrame([(1, "a b c", "S"), (1, "d e f", "s"), (1, "a b c", "s "), (2, "g h i", "s")], "doc_id long, text string, source string")
+    _, report = mix_sources(df, spark.createDataFrame([("s", 1.0, 2)], TARGETS), id="doc_id", text="text", source="source")
+    row = report.first()
+    assert row.n_documents == 3 and row.mixed_tokens == row.source_tokens and not row.falls_short
+
+
 def test_nothing_to_mix(spark):
     mixture, report = mix_sources(spark.createDataFrame([], "doc_id long, text string, source string"), spark.createDataFrame([("a", 1.0, 2)], TARGETS), id="doc_id", text="text", source="source")
     assert mixture.collect() == [] and report.first()["mixed_tokens"] == 0
