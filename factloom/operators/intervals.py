@@ -2,7 +2,7 @@
 
 Each closed interval of days is cut into its canonical dyadic blocks, the nodes of a binary tree over all
 days (heap order: root 1, parent id >> 1, sibling id ^ 1). Repeated and overlapping intervals share nodes,
-so a distinct with map-side combining shrinks hot keys before anything is shuffled. What is left of one key
+so that batches and then a distinct with map-side combining shrink hot keys before anything is shuffled. What is left of one key
 is bounded by the calendar, whatever the number of rows. Per key, nodes below a present ancestor are
 removed, full sibling pairs are replaced by their parent, and adjacent nodes are joined to periods.
 """
@@ -22,35 +22,60 @@ LAST = (1 << LEVELS) - 1
 ORIGIN = "0001-01-01"
 
 
-def dyadic_nodes(first: Column, last: Column) -> Column:
-    """Heap ids of the canonical blocks that tile the days first..last (both included)."""
+def dyadic_nodes(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(interval, heap id) of the canonical blocks that tile the days first..last (both included) of each interval.
 
-    def at(level: Column) -> Column:
-        width = F.pow(F.lit(2.0), level).cast("long")
-        lo = F.floor((first + width - 1) / width).cast("long")
-        hi = F.floor((last + 1) / width).cast("long")
-        base = F.floor(F.lit(1 << LEVELS) / width).cast("long")
-        left = F.when((lo < hi) & (lo % 2 == 1), base + lo)
-        right = F.when((lo < hi) & (hi % 2 == 1), base + hi - 1)
-        return F.array(left, right)
-
-    both = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at))
-    return F.filter(both, lambda x: x.isNotNull())
-
-
-def _reduced(owner: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, first day, last day) of the continuous periods that the nodes of each owner cover."""
+    Going up from single days, a block that starts at an odd place, or ends at an even one, has its sibling outside.
+    """
+    lo, hi = first + (1 << LEVELS), last + (1 << LEVELS) + 1
+    who = np.arange(len(lo), dtype=np.int64)
+    owners, nodes = [], []
+    while len(who):
+        for odd, node in ((lo & 1 == 1, lo), (hi & 1 == 1, hi - 1)):
+            owners.append(who[odd])
+            nodes.append(node[odd])
+        lo, hi = (lo + 1) >> 1, hi >> 1
+        open_ = lo < hi
+        lo, hi, who = lo[open_], hi[open_], who[open_]
+    return np.concatenate([*owners, who]), np.concatenate([*nodes, who])
+
+
+def _decompose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each key in a batch, without repetitions and without those below another one."""
+    for batch in batches:
+        keys = batch.column(0).dictionary_encode()
+        who = keys.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        first, last = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+        spans = np.unique(np.stack([who, first, last]), axis=1)
+        at, node = dyadic_nodes(spans[1], spans[2])
+        owner, node, _ = _uncovered(*np.unique(np.stack([spans[0][at], node]), axis=1))
+        offsets = np.searchsorted(owner, np.arange(len(keys.dictionary) + 1))
+        yield pa.RecordBatch.from_arrays([keys.dictionary, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(node.astype(np.int32)))], ["key", "nodes"])
+
+
+def _extent(node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(level, first day, last day) of blocks."""
     depth = np.frexp(node.astype(np.float64))[1] - 1
     level = LEVELS - depth
     start = (node - (np.int64(1) << depth)) << level
-    end = start + (np.int64(1) << level) - 1
+    return level, start, start + (np.int64(1) << level) - 1
+
+
+def _uncovered(owner: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, node, level) of the blocks that no ancestor of the same owner covers, once each."""
+    level, start, end = _extent(node)
     order = np.lexsort((-level, start, owner))
-    owner, node, level, start, end = (x[order] for x in (owner, node, level, start, end))
+    owner, node, level, end = (x[order] for x in (owner, node, level, end))
     # Blocks nest or are disjoint: a covering ancestor starts no later and comes first.
     reach = np.maximum.accumulate(owner * (LAST + 2) + end)
     covered = np.zeros(len(node), bool)
     covered[1:] = (owner[1:] == owner[:-1]) & (owner[1:] * (LAST + 2) + end[1:] <= reach[:-1])
-    owner, node, level = owner[~covered], node[~covered], level[~covered]
+    return owner[~covered], node[~covered], level[~covered]
+
+
+def _reduced(owner: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, first day, last day) of the continuous periods that the nodes of each owner cover."""
+    owner, node, level = _uncovered(owner, node)
     kept_owner, kept_node, kept_level = [], [], []
     up_owner, up_node = np.empty(0, np.int64), np.empty(0, np.int64)
     for k in range(LEVELS + 1):
@@ -104,9 +129,10 @@ def merge_periods(df: DataFrame, key: str, first: Column, last: Column) -> DataF
     days = df.select(
         F.col(key).alias("key"), F.datediff(first, origin).cast("long").alias("a"), F.coalesce(F.datediff(last, origin).cast("long"), F.lit(LAST)).alias("b")
     ).filter("key is not null and a is not null and a >= 0 and a <= b")
-    nodes = days.distinct().select("key", F.explode(dyadic_nodes(F.col("a"), F.col("b")).cast("array<int>")).alias("node")).distinct()
-    lists = nodes.groupBy("key").agg(F.collect_list("node").alias("nodes"))
     kind = df.schema[key].dataType.simpleString()
+    blocks = days.mapInArrow(_decompose, f"key {kind}, nodes array<int>")
+    nodes = blocks.select("key", F.explode("nodes").alias("node")).distinct()
+    lists = nodes.groupBy("key").agg(F.collect_list("node").alias("nodes"))
     spans = lists.mapInArrow(_periods, f"key {kind}, spans array<struct<first:bigint,last:bigint>>")
     gaps = F.when(
         F.size("spans") > 1,
