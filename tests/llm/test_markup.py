@@ -40,3 +40,35 @@ def test_table(spark):
     got = sorted(clean_markup(df, id="chunk_id", text="text", headings="heading_path").collect(), key=lambda r: r[0])
     assert [tuple(r) for r in got] == [(1, "x", ["A & B", None, ""], ["markdown"], ["html"])] * 2 + [(2, None, None, [], []), (3, "", [], [], [])]
     assert clean_markup(spark.createDataFrame([], df.schema), id="chunk_id", text="text", headings="heading_path").collect() == []
+
+
+@pytest.mark.parametrize(
+    "text, clean, languages",
+    [
+        (r"\begin{equation} E = \frac{a}{b} \end{equation}", r"\begin{equation} E = \frac{a}{b} \end{equation}", {"latex"}),
+        (r"\begin{align*} \sqrt{y} &= 1 \end{align*}", r"\begin{align*} \sqrt{y} &= 1 \end{align*}", {"latex"}),
+        ("\\begin{tabular}{l|r}\n\\hline\na & b \\\\\nccc & \\textbf{d} \\\\\n\\end{tabular}", "a   | b\nccc | d\n", {"latex"}),
+        ("\\begin{verbatim}\n\\textbf{x} <b>y</b> **z**\n\\end{verbatim}", "```\n\\textbf{x} <b>y</b> **z**\n```\n", {"latex"}),
+        (r"\verb|a_b{c}| and \frac{a}{\sqrt{b}}", "`a_b{c}` and (a)/(√(b))", {"latex"}),
+        (r"\textbf{\emph{\underline{\textit{\textsc{\textsf{deep}}}}}}", "deep", {"latex"}),
+        ("<math><mi>E</mi><mo>=</mo><mi>m</mi></math> <math>\\frac{a}{b}</math>", "$E = m$ $\\frac{a}{b}$", {"html"}),
+        ("<svg><title>no</title><text x='1'>seen</text></svg>!", "seen!", {"html"}),
+        ("{{formula|E=mc}} {{convert|5|km}} {{lang|fr|bonjour}}{{stub|x}} {{a|{{b|c}}}}", "$E=mc$ 5 km bonjour c", {"wiki"}),
+        ("Call __init__ and _x_; __main__.", "Call __init__ and x; __main__.", {"markdown"}),
+        ("Only __init__ here, and __name__.", None, set()),
+        ("odd \ue0000\ue001 **x** \ue0017", "odd \ue0000\ue001 x \ue0017", {"markdown"}),
+        ("**_~~*__**x**__*~~_**", "x", {"markdown"}),
+        ("above\n\n---\n\nbelow", "above\n\n\n\nbelow", {"markdown"}),
+        ("<a href='x?a=**b**&amp;c'>t</a> <img alt='a &lt; b'> <nowiki>'''k'''</nowiki>", "t a < b '''k'''", {"html"}),
+        ("[![alt](i.png)](http://x/y)", "alt", {"markdown"}),
+        ("</b> closes nothing", " closes nothing", {"html"}),
+    ],
+)
+def test_formulas_tables_and_depth(text, clean, languages):
+    got = render(text)
+    assert got == (text if clean is None else clean, frozenset(languages))
+
+
+def test_deep_elements_keep_their_text():
+    assert render("<b>" * 3000 + "x" + "</b>" * 3000 + "y")[0] == "xy"
+    assert render("<ul><li>" * 400 + "x")[0].strip().endswith("x")
