@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def reachable(spark: SparkSession) -> None:
@@ -41,16 +43,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
+    """df with its lineage cut by a reliable checkpoint, which Spark's cleaner may remove; for small results of some work.
+
+    The rows are held on disk meanwhile, since a checkpoint alone would compute them twice.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return held.checkpoint(eager)
+    finally:
+        held.unpersist()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a table of its own in the checkpoint folder; columns are compressed there, unlike in a checkpoint."""
-    place = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    """df with its lineage cut by a table of its own in the checkpoint folder, computed once and compressed; see ``forget``.
+
+    The folder goes when the application ends, if not before.
+    """
+    spark = df.sparkSession
+    home = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+    place = f"{home}/{uuid.uuid4().hex}"
+    path, fs = _hadoop(spark, home)
+    fs.deleteOnExit(path)
+    names = [f"c{k}" for k in range(len(df.columns))]
+    df.toDF(*names).write.option("compression", "zstd").parquet(place)
+    out = spark.read.schema(T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, df.schema)])).parquet(place).toDF(*df.columns)
+    out._place = place
+    return out
+
+
+def _hadoop(spark: SparkSession, place: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table behind a result of ``stored`` that nothing will read any more."""
+    path, fs = _hadoop(df.sparkSession, df._place)
+    fs.delete(path, True)
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
