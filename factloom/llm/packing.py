@@ -1,123 +1,161 @@
 """Filling containers of fixed capacity with whole documents: bulk-synchronous best fit, largest first.
 
-Sizes are whole tokens up to the capacity, so documents and gaps fall into at most ``capacity`` classes each. The
-distributed part counts items by class, and ranks them within their class; a sweep from large to small classes then
-gives every class, a run of ranks at a time, to the smallest gaps that hold it (the successors among the sorted
-gaps), splits what is left of those gaps into new classes, and opens containers where no gap is large enough. Within
-a class documents are interchangeable: rank r of the class takes the r-th place of the runs, which settles all
-conflicts without any exchange between documents. The result is that of best fit, one document after another in
-order of falling size. What reaches the driver is one count for each class and salt, bounded by the capacity and not
-by the number of documents; the plan it sends back is bounded in the same way.
+Full containers cut from documents beyond the capacity need no packing. All other items meet as many containers as
+their total size needs at least. Each round range-sorts the items left and the gaps by falling size, and every range is
+swept from large to small: a gap is laid on a stack, an item takes the top, which is its successor, the smallest gap
+that holds it among those that no larger item has taken. What a range cannot settle (items that found the stack empty,
+then gaps that nothing took) is carried on by its counts alone: the driver, with two numbers from each range, finds which
+ranks of one range's items meet which ranks of an earlier range's gaps, and a join by rank settles them. Then the gaps
+are updated, and the next round begins. A round that places nothing opens the containers that the rest needs at least.
+
+No task sees more than one range of sizes, and equal sizes are spread over ranges by hash, so that a size or length that
+a third of all documents share is no hot spot.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm.tokens import DEFAULT_VOCABULARY, token_counts
-from factloom.session import cut
-
-SALTS = 32
-
-
-def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(size, first rank, end rank, first container, items a container) runs of best fit, sizes falling.
-
-    At most two gap runs arise for each size class, a run's sizes differ and sum to the capacity at most, so the plan
-    has O(capacity * sqrt(capacity)) rows at worst.
+from factloom.session import forget, stored
+
+GAP, ITEM, PAIR = 0, 1, 2
+SWEPT = ["what", "size", "rest", "id", "piece", "box", "part", "rank"]
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range, sorted by falling size with gaps before items: pairs, and what is left, ranked in this order."""
+    held = list(batches)
+    if not held:
+        return
+    rows, part = pa.Table.from_batches(held).combine_chunks(), TaskContext.get().partitionId()
+    stack: list[int] = []
+    items, gaps, left = [], [], []
+    for k, what in enumerate(rows["what"].to_pylist()):
+        if what == GAP:
+            stack.append(k)
+        elif stack:
+            items.append(k)
+            gaps.append(stack.pop())
+        else:
+            left.append(k)
+    size, box, key, piece = (rows[c].combine_chunks() for c in ("size", "box", "id", "piece"))
+
+    def told(what: int, of: list[int], boxes: list[int], rest: pa.Array) -> pa.RecordBatch:
+        at, n = pa.array(of, pa.int64()), len(of)
+        cols = [pa.array([what] * n, pa.int32()), size.take(at), rest, key.take(at), piece.take(at), box.take(pa.array(boxes, pa.int64())), pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int32())]
+        return pa.RecordBatch.from_arrays(cols, SWEPT)
+
+    yield told(PAIR, items, gaps, pc.subtract(size.take(pa.array(gaps, pa.int64())), size.take(pa.array(items, pa.int64()))))
+    yield told(ITEM, left, left, pa.nulls(len(left), pa.int32()))
+    yield told(GAP, stack, stack, pa.nulls(len(stack), pa.int32()))
+
+
+def carried(items: dict[int, int], gaps: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """(items' range, first rank, how many, gaps' range, rank after the first one's gap): matches between ranges.
+
+    Ranges are numbered by falling size. Items of a range come before its gaps and take the smallest of the gaps left by
+    the ranges before it, the last of the last one first.
     """
-    plan: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of (first container, how many)
-    order: list[int] = []
-    opened = 0
-
-    def put(gap: int, run: tuple[int, int]) -> None:
-        if gap not in gaps:
-            gaps[gap] = []
-            bisect.insort(order, gap)
-        gaps[gap].append(run)
-
-    for size in sorted((s for s in counts if s > 0), reverse=True):
-        left, rank = counts[size], 0
-        while left:
-            at = bisect.bisect_left(order, size)
-            if at == len(order):
-                need = -(-left // (capacity // size))
-                put(capacity, (opened, need))
-                opened += need
-                continue
-            gap = order[at]
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap]
-                order.pop(at)
-            each = gap // size
-            full = min(n, left // each)
-            if full:
-                plan.append((size, rank, rank + full * each, first, each))
-                rank, left = rank + full * each, left - full * each
-                put(gap - each * size, (first, full))
-            if full < n:
-                if left:  # less than one container takes
-                    plan.append((size, rank, rank + left, first + full, each))
-                    put(gap - left * size, (first + full, 1))
-                    left, full = 0, full + 1
-                if full < n:
-                    put(gap, (first + full, n - full))
-    return plan
-
-
-def _placer(plan: list[tuple[int, int, int, int, int]], offsets: dict[tuple[int, int], int]):
-    runs = np.array(sorted(plan), np.int64).reshape(-1, 5)
-    wide = np.int64(1) << 40
-    starts = runs[:, 0] * wide + runs[:, 1]
-    keys = np.array(sorted(s * SALTS + t for s, t in offsets), np.int64)
-    shift = np.array([offsets[(int(k) // SALTS, int(k) % SALTS)] for k in keys], np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, salt, rn = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (4, 5, 7))
-            rank = shift[np.searchsorted(keys, size * SALTS + salt)] + rn - 1 if len(size) else size
-            at = np.searchsorted(starts, size * wide + rank, "right") - 1
-            box = runs[at, 3] + (rank - runs[at, 1]) // runs[at, 4] if len(size) else size
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(box), batch.column(6)], ["id", "piece", "token_from", "token_to", "size", "container", "split"])
-
-    return run
-
-
-def pack_documents(df: DataFrame, *, id: str, text: str, capacity: int = 2048, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    runs, stack = [], []
+    for part in sorted({*items, *gaps}):
+        left, rank = items.get(part, 0), 0
+        while left and stack:
+            of, n = stack.pop()
+            m = min(left, n)
+            runs.append((part, rank, m, of, n))
+            if n > m:
+                stack.append((of, n - m))
+            left, rank = left - m, rank + m
+        if gaps.get(part):
+            stack.append((part, gaps[part]))
+    return runs
+
+
+def _settled(swept: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """What a round leaves: its pairs, those between ranges included, and the items and gaps that remain."""
+    table = F.broadcast(swept.sparkSession.createDataFrame(runs, "of int, first int, n int, gap_part int, gap_end int"))
+    items, gaps = swept.filter(F.col("what") == ITEM), swept.filter(F.col("what") == GAP)
+    aimed = items.join(table, (F.col("part") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")), "left")
+    aimed = aimed.select(F.struct("size", "id", "piece").alias("item"), "gap_part", (F.col("gap_end") - 1 - (F.col("rank") - F.col("first"))).alias("gap_rank"))
+    open_ = gaps.select(F.struct("size", "box").alias("gap"), F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"))
+    both = aimed.join(open_, ["gap_part", "gap_rank"], "full")
+    what = F.when(F.col("gap").isNull(), ITEM).when(F.col("item").isNull(), GAP).otherwise(PAIR)
+    joined = both.select(
+        what.alias("what"), F.coalesce("item.size", "gap.size").alias("size"), F.when(what == PAIR, F.col("gap.size") - F.col("item.size")).alias("rest"), "item.id", "item.piece", "gap.box"
+    )
+    return swept.filter(F.col("what") == PAIR).select(*SWEPT[:6]).unionByName(joined)
+
+
+def best_fit(items: DataFrame, capacity: int, ranges: int | None = None) -> tuple[DataFrame, int]:
+    """(id, piece, size, box) of every item, and how many boxes there are. ``items``: id, piece, size up to the capacity."""
+    spark = items.sparkSession
+    kind = items.schema["id"].dataType.simpleString()
+    schema = f"what int, size int, rest int, id {kind}, piece int, box bigint, part int, rank int"
+    total = items.agg(F.sum("size")).first()[0] or 0
+    opened, rounds = -(-total // capacity), []
+
+    def boxes(first: int, n: int) -> DataFrame:
+        return spark.range(first, first + n).select(F.lit(GAP).alias("what"), F.lit(capacity).alias("size"), F.lit(None).cast(kind).alias("id"), F.lit(None).cast("int").alias("piece"), F.col("id").alias("box"))
+
+    now = items.select(F.lit(ITEM).alias("what"), "size", "id", "piece", F.lit(None).cast("bigint").alias("box")).unionByName(boxes(0, opened))
+    order = [F.col("size").desc(), F.col("what"), F.xxhash64("id", "piece", "box")]
+    while total:
+        ranged = now.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+        done = stored(ranged.mapInArrow(_sweep, schema))
+        counts = done.groupBy("what", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
+        items_left, gaps_left = ({r["part"]: r["n"] for r in counts if r["what"] == w} for w in (ITEM, GAP))
+        runs = carried(items_left, gaps_left)
+        if runs:
+            swept, done = done, stored(_settled(done, runs))
+            forget(swept)
+        rounds.append(done)
+        left = sum(items_left.values()) - sum(r[2] for r in runs)
+        if not left:
+            break
+        remain = done.filter(F.col("what") != PAIR).select("what", "size", "id", "piece", "box")
+        smaller = done.filter(f"what = {PAIR} and rest > 0").select(F.lit(GAP).alias("what"), F.col("rest").alias("size"), F.lit(None).cast(kind).alias("id"), F.lit(None).cast("int").alias("piece"), "box")
+        now = remain.unionByName(smaller)
+        if not runs and not any(r["what"] == PAIR for r in counts):
+            need = -(-sum(r["size"] for r in counts if r["what"] == ITEM) // capacity)
+            now, opened = now.unionByName(boxes(opened, need)), opened + need
+    placed = spark.createDataFrame([], f"id {kind}, piece int, size int, box bigint")
+    for done in rounds:
+        placed = placed.unionByName(done.filter(F.col("what") == PAIR).select("id", "piece", "size", "box"))
+    out = stored(placed)
+    for done in rounds:
+        forget(done)
+    return out, opened
+
+
+def pack_documents(df: DataFrame, *, id: str, text: str, capacity: int = 2048, vocabulary: str = DEFAULT_VOCABULARY, ranges: int | None = None) -> DataFrame:
     """(<id>, piece int, token_from, token_to, n_tokens, container long, is_split boolean), one row for each placed item.
 
     A document larger than a container is cut into full containers and one rest, which is placed like a document;
-    ``token_from`` (inclusive) and ``token_to`` (exclusive) tell the part. All others are whole. Rows with a null id
-    are ignored; an id that occurs with one text several times counts once for each row with another text. A null or
-    empty text has no tokens and is placed nowhere (no row). An empty table gives an empty result.
+    ``token_from`` (inclusive) and ``token_to`` (exclusive) tell the part. All others are whole. Containers have numbers
+    of their own, not all of them in use. Rows with a null id are ignored; repeated rows are placed once each. A null or
+    empty text has no tokens and is placed nowhere (no row). An empty table gives an empty result. ``ranges`` sets the
+    number of ranges of a sweep, which Spark chooses otherwise.
     """
-    kind = df.schema[id].dataType.simpleString()
     rows = df.select(F.col(id).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null and text != ''")
-    sizes = cut(token_counts(rows, "id", "text", vocabulary))
+    sizes = stored(token_counts(rows, "id", "text", vocabulary).withColumn("copy", F.monotonically_increasing_id()))
     pieces = F.transform(
         F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / capacity).cast("int")),
         lambda k: F.struct((k + 1).alias("piece"), (k * capacity).alias("from"), F.least(F.col("n_tokens"), (k + 1) * capacity).alias("to"), (F.col("n_tokens") > capacity).alias("split")),
     )
-    items = sizes.select("id", F.explode(pieces).alias("p"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).select(
-        "id", "p.piece", F.col("p.from").alias("token_from"), F.col("p.to").alias("token_to"), (F.col("p.to") - F.col("p.from")).alias("size"), "salt", "p.split"
-    )
-    classes = [(r["size"], r["salt"], r["n"]) for r in items.groupBy("size", "salt").agg(F.count("*").alias("n")).collect()]
-    counts: dict[int, int] = {}
-    offsets: dict[tuple[int, int], int] = {}
-    for size, salt, n in sorted(classes):
-        offsets[(size, salt)] = counts.get(size, 0)
-        counts[size] = counts.get(size, 0) + n
-    ranked = items.withColumn("rn", F.row_number().over(W.partitionBy("size", "salt").orderBy("id", "piece")))
-    placed = ranked.mapInArrow(_placer(best_fit_plan(counts, capacity), offsets), f"id {kind}, piece int, token_from int, token_to int, size int, container bigint, split boolean")
-    return placed.select(
-        F.col("id").alias(id), "piece", "token_from", "token_to", F.col("size").alias("n_tokens"), "container", F.col("split").alias("is_split")
+    items = sizes.select(F.struct("id", "copy").alias("id"), F.explode(pieces).alias("p")).select("id", "p.*", (F.col("p.to") - F.col("p.from")).alias("size"))
+    whole = items.filter(F.col("size") == capacity)
+    placed, opened = best_fit(items.filter(F.col("size") < capacity).select("id", "piece", "size"), capacity, ranges)
+    start = (F.col("piece") - 1) * capacity
+    # What is smaller than a container is the rest of a larger document, unless it is its first piece.
+    told = placed.select("id", "piece", start.alias("from"), (start + F.col("size")).alias("to"), "size", "box", (F.col("piece") > 1).alias("split"))
+    full = whole.select("id", "piece", "from", "to", "size", (F.monotonically_increasing_id() + opened).alias("box"), "split")
+    return told.unionByName(full).select(
+        F.col("id.id").alias(id), "piece", F.col("from").alias("token_from"), F.col("to").alias("token_to"), F.col("size").alias("n_tokens"), F.col("box").alias("container"), F.col("split").alias("is_split")
     )
