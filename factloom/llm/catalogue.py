@@ -114,6 +114,8 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(whole)).select("subject", "documents", (F.col("documents") / F.col("all_documents")).alias("share"))
 
 
+PLACEHOLDERS = "('', '-', '--', '---', '?', '??', '???', 'n/a', 'na', 'n.a.', 'none', 'null', 'nil', 'unknown', 'tbd', 'tba', 'tbc', '...', '…')"
+
 ORACLE = {
     "p2_found": r"""
 WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE length(text) > 1500),
@@ -132,6 +134,26 @@ v AS (SELECT r.grp, value_map[w.winner] AS winner_value, r.rank, r.t, r.id FROM
   WHERE value_map[w.winner] IS NOT NULL AND lower(trim(value_map[w.winner])) NOT IN ('', '-', '--', '---', '?', '??', '???', 'n/a', 'na', 'n.a.', 'none', 'null', 'nil', 'unknown', 'tbd', 'tba', 'tbc', '...')
   QUALIFY row_number() OVER (PARTITION BY r.grp ORDER BY r.rank DESC, r.t DESC NULLS LAST, r.id DESC) = 1)
 SELECT group_id, winner, winner_value, CAST(resolved AS INT) AS resolved FROM g LEFT JOIN w USING (grp) LEFT JOIN s USING (grp) LEFT JOIN v USING (grp)""",
+    "p3_currency": rf"""
+WITH RECURSIVE r AS (SELECT DISTINCT conflict_id AS id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(fact_key), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))), ' ') AS grp,
+  CASE WHEN winner >= 0 THEN winner END AS winner, value_map, resolved, reported_at AS t, CASE authority WHEN 'explicit' THEN 4 WHEN 'observed' THEN 3 WHEN 'imported' THEN 2 WHEN 'inferred' THEN 1 ELSE 0 END AS rank FROM conflicts),
+s AS (SELECT *, CASE WHEN value_map[winner] IS NOT NULL AND lower(trim(value_map[winner])) NOT IN {PLACEHOLDERS} THEN lower(trim(value_map[winner])) END AS said FROM r),
+steps AS (SELECT earlier, later, count(*) AS n FROM (SELECT lag(said) OVER (PARTITION BY grp ORDER BY t, id) AS earlier, said AS later FROM (SELECT DISTINCT grp, t, id, said FROM s WHERE t IS NOT NULL AND said IS NOT NULL)) WHERE earlier <> later GROUP BY ALL),
+pairs AS (SELECT a.earlier, a.later FROM steps a LEFT JOIN steps b ON a.earlier = b.later AND a.later = b.earlier WHERE a.n > coalesce(b.n, 0)),
+own AS (SELECT * FROM s WHERE said IS NOT NULL AND grp IN (SELECT grp FROM s WHERE t IS NULL AND said IS NOT NULL)),
+reach AS (SELECT earlier, later FROM pairs WHERE earlier IN (SELECT said FROM own) UNION SELECT x.earlier, p.later FROM reach x JOIN pairs p ON x.later = p.earlier),
+before AS (SELECT x.earlier, x.later FROM reach x LEFT JOIN reach y ON x.earlier = y.later AND x.later = y.earlier WHERE y.later IS NULL UNION SELECT earlier, later FROM pairs),
+vals AS (SELECT DISTINCT grp, said FROM own),
+newer AS (SELECT a.grp, a.said, -count(*) AS newer FROM vals a JOIN before b ON a.said = b.earlier JOIN vals c ON c.grp = a.grp AND c.said = b.later GROUP BY ALL),
+aft AS (SELECT o.grp, o.rank, b.later AS said, max(o.t) AS aft FROM own o JOIN before b ON o.said = b.earlier WHERE o.t IS NOT NULL GROUP BY ALL),
+f AS (SELECT s.*, coalesce(s.t, aft) AS at_, CASE WHEN s.t IS NULL THEN 1 ELSE 0 END AS late, CASE WHEN s.t IS NULL THEN coalesce(newer, 0) ELSE 0 END AS fresh
+  FROM s LEFT JOIN newer USING (grp, said) LEFT JOIN aft USING (grp, rank, said)),
+g AS (SELECT grp, min(id) AS group_id FROM s GROUP BY grp HAVING count(DISTINCT id) > 1),
+w AS (SELECT grp, winner FROM f WHERE winner IS NOT NULL QUALIFY row_number() OVER (PARTITION BY grp ORDER BY rank DESC, at_ DESC NULLS LAST, late DESC, fresh DESC, id DESC) = 1),
+z AS (SELECT grp, resolved FROM f WHERE resolved IS NOT NULL QUALIFY row_number() OVER (PARTITION BY grp ORDER BY rank DESC, at_ DESC NULLS LAST, late DESC, fresh DESC, id DESC) = 1),
+v AS (SELECT f.grp, value_map[w.winner] AS winner_value FROM f JOIN w USING (grp) WHERE value_map[w.winner] IS NOT NULL AND lower(trim(value_map[w.winner])) NOT IN {PLACEHOLDERS}
+  QUALIFY row_number() OVER (PARTITION BY f.grp ORDER BY f.rank DESC, f.at_ DESC NULLS LAST, f.late DESC, f.fresh DESC, f.id DESC) = 1)
+SELECT group_id, winner, winner_value, CAST(resolved AS INT) AS resolved FROM g LEFT JOIN w USING (grp) LEFT JOIN z USING (grp) LEFT JOIN v USING (grp)""",
 }
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_pieces, p3_found, p3_currency, p4_found, p4_clean, p7_found, p7_containers, p8_found, p8_mixture, p8_report, p9_found, p9_composition)}
