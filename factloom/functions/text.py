@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.functions.values import nfkd
+from factloom.functions.values import folded, nfkd
 
 # The words that carry no meaning of their own.
 STOPWORDS = tuple(
@@ -24,9 +25,20 @@ what's whats""".split()
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?"
 
 
+def _combining() -> str:
+    """A class of all characters with a canonical combining class, of which only marks have one."""
+    marks = [c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    edges = [(a, b) for a, b in zip([None, *marks], [*marks, None]) if a is None or b is None or b > a + 1]
+    spans = zip([b for _, b in edges[:-1]], [a for a, _ in edges[1:]])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans) + "]+"
+
+
+COMBINING = _combining()
+
+
 def normalized(col: Column) -> Column:
-    """Folded case without accents: compatibility decomposition, combining marks dropped, lower case with ss for ß."""
-    return F.translate(F.replace(F.lower(F.regexp_replace(nfkd(col), r"\p{Mn}+", "")), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    """Folded case without accents: compatibility decomposition, combining marks dropped, full case folding."""
+    return folded(F.regexp_replace(nfkd(col), COMBINING, ""))
 
 
 def words_of(norm: Column) -> Column:
@@ -66,17 +78,18 @@ def _short(w: str) -> bool:
     return len(w) > 2 and _shape(w)[-3:] == "cvc" and w[-1] not in "wxy"
 
 
-# The suffix pairs of Porter's steps 2 to 4 (1980).
-_STEP2 = dict(
-    x.split(":")
-    for x in "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble".split()
-)
+# The suffix pairs of Porter's steps 2 to 4, with the two later rules for bli and logi.
+_STEP2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize",
+    "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log",
+}
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
 
 
-def _longest(w: str, table) -> str | None:
-    return max((s for s in table if w.endswith(s)), key=len, default=None)
+def _endings(w: str, table) -> list[str]:
+    """The suffixes of a table that a word ends in, the longest first."""
+    return sorted((s for s in table if w.endswith(s)), key=len, reverse=True)
 
 
 def porter_stem(w: str) -> str:
@@ -105,10 +118,10 @@ def porter_stem(w: str) -> str:
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
     for table in (_STEP2, _STEP3):
-        s = _longest(w, table)
-        if s and _measure(w[: -len(s)]) > 0:
+        s = next((s for s in _endings(w, table) if _measure(w[: -len(s)]) > 0), None)
+        if s:
             w = w[: -len(s)] + table[s]
-    s = _longest(w, _STEP4)
+    s = next(iter(_endings(w, _STEP4)), None)
     if s and _measure(w[: -len(s)]) > 1 and (s != "ion" or w[-4:-3] in ("s", "t")):
         w = w[: -len(s)]
     if w.endswith("e"):
@@ -129,6 +142,7 @@ def stem_udf(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_all_udf(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Stems of arrays that have to stay arrays; each task works out a word once."""
     memo: dict[str, str] = {}
     for s in lists:
         yield s.map(lambda ws: None if ws is None else [memo[w] if w in memo else memo.setdefault(w, porter_stem(w)) for w in ws])

@@ -18,6 +18,12 @@ def nfkd(col: Column) -> Column:
     return F.when(col.isNotNull(), made)
 
 
+def folded(col: Column) -> Column:
+    """Full case folding; null stays null."""
+    made = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), F.coalesce(col, F.lit("")), F.lit(True))
+    return F.when(col.isNotNull(), made)
+
+
 def value_key(composed: Column) -> Column:
     """What two spellings of one value share: no case, remarks in parentheses, spare white space or closing period.
 

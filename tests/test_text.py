@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from factloom.functions.text import content_words, normalized, porter_stem, word
 
 @pytest.mark.parametrize(
     "word, stem",
-    [x.split(":") for x in "caresses:caress ponies:poni ties:ti cats:cat feed:feed agreed:agre plastered:plaster motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop falling:fall hissing:hiss filing:file happy:happi sky:sky relational:relat conditional:condit digitizer:digit operator:oper callousness:callous triplicate:triplic formalize:formal electrical:electr hopeful:hope revival:reviv allowance:allow inference:infer adjustment:adjust adoption:adopt probate:probat rate:rate controlling:control roll:roll generalization:gener relocating:reloc relocate:reloc is:is 2026:2026 v2beta:v2beta 日本語:日本語".split()],
+    [x.split(":") for x in "caresses:caress ponies:poni ties:ti cats:cat feed:feed agreed:agre plastered:plaster motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop falling:fall hissing:hiss filing:file happy:happi sky:sky relational:relat conditional:condit digitizer:digit operator:oper callousness:callous triplicate:triplic formalize:formal electrical:electr hopeful:hope revival:reviv allowance:allow inference:infer adjustment:adjust adoption:adopt probate:probat rate:rate controlling:control roll:roll generalization:gener relocating:reloc relocate:reloc technology:technolog biology:biologi analogy:analog possibly:possibl terribly:terribl nationally:nation conformably:conform is:is 2026:2026 v2beta:v2beta 日本語:日本語".split()],
 )
 def test_porter(word, stem):
     assert porter_stem(word) == stem
@@ -23,6 +25,14 @@ def test_words_and_tokens(spark):
     assert rows[2].w == rows[3].w == []
 
 
+def test_normalized_is_plain_python(spark):
+    chars = [chr(c) for c in range(1, 0x3000) if unicodedata.category(chr(c)) not in ("Cn", "Cs") and c != 0x1C89] + ["ﬁ", "İ", "ẞ", "ŉ", "กำ", "कि", "ΑΣ", "Ǆ", "𝐀", "e\u0301\u0327", "ﬃ"]
+    df = spark.createDataFrame([(c,) for c in chars], "t string")
+    want = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold() for c in chars}
+    wrong = {r.t: (r.n, want[r.t]) for r in df.withColumn("n", normalized(F.col("t"))).collect() if r.n != want[r.t]}
+    assert not wrong
+
+
 def test_dates(spark):
     df = spark.createDataFrame([("on 2026-02-30 then 2026-03-01",), ("20260314",), ("12026-03-01",), (None,)], "t string")
     assert [str(r[0]) for r in df.select(first_date(F.col("t"))).collect()] == ["2026-03-01", "None", "None", "None"]
