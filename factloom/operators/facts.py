@@ -170,6 +170,11 @@ def diff_window(entries: DataFrame, since: date, until: date | None = None) -> D
     return rows.select("key", "change", F.col("new.raw_value").alias("value"), F.col("old.raw_value").alias("previous"), "new.label", "new.start", "undated")
 
 
+def undated(entries: DataFrame) -> DataFrame:
+    """One row (undated_skipped): the entries that a comparison of days has to leave out."""
+    return entries.agg(F.count_if(F.col("start").isNull()).alias("undated_skipped"))
+
+
 def pick_fact(hits: DataFrame, assertions: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, key, chunk_id, overlap): the fact whose key shares most words with the question among those of its hits.
 

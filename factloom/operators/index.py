@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+MANIFEST = "_manifest.json"
 
 
 class IndexMissing(Exception):
@@ -36,12 +37,13 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def version_of(manifest: DataFrame) -> DataFrame:
-    """One row (version, files): a hash over the sorted paths and content hashes; times don't matter.
+    """One row (version, files): a hash over paths and content hashes, in any order; times don't matter.
 
-    Only the list of files, a path and a hash each, is gathered; it is what one scan of the folder yields.
+    Hashes of single files are added up, so no list of files is ever gathered.
     """
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha1"))), lambda x: F.concat(x["path"], x["sha1"])), "")
-    return manifest.agg(F.substring(F.sha2(lines, 256), 1, 12).alias("version"), F.count("*").alias("files"))
+    one = F.conv(F.substring(F.sha2(F.concat_ws("|", "path", F.coalesce("sha1", F.lit(""))), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    each = manifest.agg(F.count("*").alias("files"), F.coalesce(F.sum(one).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).cast("string").alias("total"))
+    return each.select(F.substring(F.sha2(F.concat_ws(":", "files", "total"), 256), 1, 12).alias("version"), "files")
 
 
 def checksum(df: DataFrame) -> tuple[int, int]:
@@ -51,40 +53,89 @@ def checksum(df: DataFrame) -> tuple[int, int]:
     return r["n"], int(r["h"] or 0)
 
 
+class Folder:
+    """A folder on any file system that Spark writes to."""
+
+    def __init__(self, spark: SparkSession, place: str):
+        self.jvm, self.place = spark.sparkContext._jvm, place.rstrip("/")
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.path("").getFileSystem(self.conf)
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.place}/{name}" if name else self.place)
+
+    def exists(self, name: str = "") -> bool:
+        return self.fs.exists(self.path(name))
+
+    def read(self, name: str) -> str:
+        with_ = self.fs.open(self.path(name))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(with_)).decode("utf-8")
+        finally:
+            with_.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Puts a whole file in place at once."""
+        tmp = f"_tmp-{uuid.uuid4().hex}"
+        out = self.fs.create(self.path(tmp), True)
+        out.write(bytearray(text.encode("utf-8")))
+        out.hsync()
+        out.close()
+        options = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.jvm.java.lang.reflect.Array.newInstance(options.OVERWRITE.getClass(), 1)
+        how[0] = options.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self.path(tmp), self.path(name), how)
+
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self.fs.listStatus(self.path(""))]
+
+    def drop(self, name: str) -> None:
+        self.fs.delete(self.path(name), True)
+
+    def move(self, name: str, to: str) -> None:
+        self.fs.rename(self.path(name), self.path(to))
+
+    def bytes(self) -> int:
+        return self.fs.getContentSummary(self.path("")).getLength()
+
+
 def save(tables: dict[str, DataFrame], folder: str) -> dict:
-    """Writes all tables and a manifest beside the old index, then renames; gives back the manifest."""
-    tmp = f"{folder.rstrip('/')}.{uuid.uuid4().hex}.tmp"
-    meta: dict = {"schema": SCHEMA_VERSION, "tables": {}}
+    """Writes all tables into a new generation, then points the manifest at it; gives back the manifest.
+
+    Readers see the old index until the manifest is replaced, which happens at once; only then the old one goes.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    home, generation = Folder(spark, folder), f"gen-{uuid.uuid4().hex}"
+    meta: dict = {"schema": SCHEMA_VERSION, "generation": generation, "built_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "tables": {}}
     for name, df in tables.items():
-        df.write.parquet(f"file://{tmp}/{name}")
-        n, h = checksum(df.sparkSession.read.parquet(f"file://{tmp}/{name}"))
+        df.write.parquet(f"{folder}/{generation}/{name}")
+        n, h = checksum(spark.read.schema(df.schema).parquet(f"{folder}/{generation}/{name}"))
         meta["tables"][name] = {"rows": n, "checksum": h, "schema": df.schema.jsonValue()}
-    with open(f"{tmp}/_manifest.json", "w") as f:
-        json.dump(meta, f, sort_keys=True)
-        f.flush()
-        os.fsync(f.fileno())
-    old = f"{tmp}.old"
-    if os.path.exists(folder):
-        os.rename(folder, old)
-    os.rename(tmp, folder)
-    shutil.rmtree(old, ignore_errors=True)
+    home.write(MANIFEST, json.dumps(meta, sort_keys=True))
+    for name in home.names():
+        if name.startswith("gen-") and name != generation:
+            home.drop(name)
     return meta
 
 
+def describe(spark: SparkSession, folder: str) -> dict:
+    """The size and age of a saved index: index_bytes, built_at."""
+    home = Folder(spark, folder)
+    return {"index_bytes": home.bytes(), "built_at": json.loads(home.read(MANIFEST)).get("built_at")}
+
+
 def open_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of a saved index, after its manifest, row counts and checksums have been verified."""
-    from pyspark.sql.types import StructType
-
-    if not os.path.isdir(folder):
+    home = Folder(spark, folder)
+    if not home.exists():
         raise IndexMissing(folder)
     try:
-        with open(f"{folder}/_manifest.json", encoding="utf-8") as f:
-            meta = json.load(f)
+        meta = json.loads(home.read(MANIFEST))
         if meta["schema"] != SCHEMA_VERSION:
             raise IndexCorrupt(f"schema {meta['schema']}")
         out = {}
         for name, want in meta["tables"].items():
-            df = spark.read.schema(StructType.fromJson(want["schema"])).parquet(f"file://{folder}/{name}")
+            df = spark.read.schema(StructType.fromJson(want["schema"])).parquet(f"{folder}/{meta['generation']}/{name}")
             if checksum(df) != (want["rows"], want["checksum"]):
                 raise IndexCorrupt(f"table {name} is not as it was written")
             out[name] = df

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions.freshness import first_date, is_volatile_text, mtime_date, truthy
 from factloom.functions.tags import line_tag, strip_tags, without_tag
 from factloom.functions.text import content_words, normalized, stem_all_udf, words_of
+from factloom.session import stored
 
 # Line patterns of notes.
 HEADING = r"^(#{1,6})\s+(.*?)\s*#*\s*$"
@@ -18,8 +19,10 @@ VERIFIED = r"(?i)\[verified:\s*(\d{4}-\d{2}-\d{2})\]"
 VOLATILE = r"(?i)\[volatile\]"
 KEY_VALUE = r"^\s*(?:[-*+]|\d+[.)])?\s*(?:\*\*)?([^:|`]{2,60}?)(?:\*\*)?\s*:\s+(\S.*)$"
 IS_NOW = r"^([A-Za-z](?U:[\w'’ -]){1,60}?)\s+(?:is now|are now|is|are|moved to|changed to|was changed to|switched to)\s+([^.;]{1,80})"
-PRONOUNS = "it this that he she they there which who what we i you here these those one everything something nothing".split()
-SKIP_KEYS = "http https note notes todo tip tl;dr example warning q a".split()
+PRONOUNS = [
+    "it", "this", "that", "he", "she", "they", "there", "which", "who", "what", "we", "i", "you", "here", "these", "those", "one", "everything", "something", "nothing",
+]
+SKIP_KEYS = ["http", "https", "note", "notes", "todo", "tip", "tl;dr", "example", "warning", "q", "a"]
 
 
 def strip(col: Column) -> Column:
@@ -106,14 +109,16 @@ def parse_notes(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:
-    """chunks with chunk_id in order of path and line: counts by path give offsets, numbering stays within a path."""
-    sizes = chunks.groupBy("path").agg(F.count("*").alias("_n"))
-    # Paths, not chunks, pass through the one ordered window; prefixes of paths keep its input small.
-    stem = F.substring("path", 1, 2)
-    by_stem = sizes.groupBy(stem.alias("_s")).agg(F.sum("_n").alias("_m"))
-    base = by_stem.select("_s", (F.sum("_m").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, 0)) - F.col("_m")).alias("_base"))
-    inner = sizes.withColumn("_s", stem).withColumn("_off", F.sum("_n").over(W.partitionBy("_s").orderBy("path").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))
-    offsets = inner.join(base, "_s").select("path", (F.col("_base") + F.col("_off")).alias("_off"))
+    """chunks with chunk_id in order of path and line: ranges of paths are counted, numbering stays within a path.
+
+    What passes through the one ordered window is one row for each range; a range holds its share of the paths.
+    """
+    part = F.spark_partition_id().alias("_part")
+    sizes = stored(chunks.groupBy("path").agg(F.count("*").alias("_n")).repartitionByRange("path").select("path", "_n", part))
+    parts = sizes.groupBy("_part").agg(F.sum("_n").alias("_m"))
+    base = parts.select("_part", (F.sum("_m").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_m")).alias("_base"))
+    inner = sizes.withColumn("_off", F.sum("_n").over(W.partitionBy("_part").orderBy("path").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))
+    offsets = inner.join(F.broadcast(base), "_part").select("path", (F.col("_base") + F.col("_off")).alias("_off"))
     rn = F.row_number().over(W.partitionBy("path").orderBy("start_line"))
     return chunks.join(offsets, "path").select((F.col("_off") + rn - 1).alias("chunk_id"), *chunks.columns)
 
@@ -142,7 +147,7 @@ def value_form(norm: Column) -> Column:
     return F.array_join(F.filter(words_of(norm), lambda w: ~w.isin("now", "currently", "still")), " ")
 
 
-def dated(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+def dated(chunks: DataFrame, docs: DataFrame, by_phrase: bool = True) -> DataFrame:
     """chunks with effective_date, effective_source and is_volatile, from the chunk, the front matter or the file time."""
     c = F.col
     joined = chunks.join(docs.select("path", "mtime", "meta", "title"), "path", "left")
@@ -152,7 +157,7 @@ def dated(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     for k, d in fm:
         source = source.when(d.isNotNull(), f"front-matter:{k}")
     source = source.when(mtime_date(c("mtime")).isNotNull(), "mtime").otherwise("unknown")
-    volatile = c("volatile") | truthy(F.try_element_at("meta", F.lit("volatile"))) | is_volatile_text(clean_text(c("text")))
+    volatile = c("volatile") | truthy(F.try_element_at("meta", F.lit("volatile"))) | (is_volatile_text(clean_text(c("text"))) if by_phrase else F.lit(False))
     return joined.withColumn("effective_date", day).withColumn("effective_source", source).withColumn("is_volatile", F.coalesce(volatile, F.lit(False)))
 
 

@@ -13,11 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.session import cut
+from factloom.session import stored
 
 K1, B = 1.2, 0.75
-#: Terms asked for that are compared one by one in a scan; more are joined.
-MOST_TERMS = 200
 
 
 def postings(tokens: DataFrame, id: str = "chunk_id") -> DataFrame:
@@ -38,38 +36,40 @@ def term_weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def forward(tokens: DataFrame, id: str = "chunk_id") -> DataFrame:
+    """(chunk_id, dl, terms array<term, tf>): the forward index, one row a text, made without a shuffle; texts without tokens count.
+
+    Sorted tokens are runs of equal terms, whose lengths are the term frequencies.
+    """
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.get(F.transform(F.array(starts), lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf")))), F.lit(0))
+
+    ordered = F.array_sort(F.coalesce("tokens", F.array().cast("array<string>")))
+    terms = F.get(F.transform(F.array(ordered), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))), F.lit(0))
+    return tokens.select(F.col(id), F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), terms.alias("terms"))
+
+
 def bm25(tokens: DataFrame, queries: DataFrame, id: str = "chunk_id") -> DataFrame:
-    """(qid, chunk_id, score) of every chunk that shares a term with a query. ``queries``: qid, terms array.
+    """bm25_of the forward index of a table with an array of tokens, which is written once."""
+    return bm25_of(stored(forward(tokens, id)), queries, id)
+
+
+def bm25_of(index: DataFrame, queries: DataFrame, id: str = "chunk_id") -> DataFrame:
+    """(qid, chunk_id, score) of every chunk that shares a term with a query. ``index``: see forward; ``queries``: qid, terms array.
 
     Repeated query terms count once; queries without terms, an empty corpus and one without tokens give no rows.
     """
     wanted = queries.select("qid", F.explode(F.array_distinct("terms")).alias("term"))
-    few = _small(queries)
-    vocabulary = sorted(r["term"] for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()) if few else []
-    if few and len(vocabulary) <= MOST_TERMS:
-        # One pass over the corpus: a chunk's length and the few of its tokens that are asked for.
-        slim = cut(tokens.select(F.col(id), F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(*vocabulary) if vocabulary else F.lit(False)).alias("asked")))
-        stats = slim.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-        terms_of = slim.select(id, "dl", F.explode("asked").alias("term"))
-    else:
-        stats = corpus_stats(tokens)
-        terms = wanted.select("term").distinct()
-        terms_of = tokens.select(F.col(id), F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(F.broadcast(terms) if few else terms, "term")
-    hits = terms_of.groupBy("term", id, "dl").agg(F.count("*").alias("tf"))
+    stats = index.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    hits = index.select(F.col(id), "dl", F.inline("terms")).join(wanted.select("term").distinct(), "term")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = hits.join(F.broadcast(stats)).join(df, "term").filter("avgdl > 0")
     scored = weighed.select(id, "term", (idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("w"))
     return scored.join(wanted, "term").groupBy("qid", id).agg(F.sum("w").alias("score"))
 
 
-def _small(df: DataFrame, most: int = 8 << 20) -> bool:
-    """Whether Spark's own estimate of a table's size is known to be small."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= most
-    except Exception:
-        return False
-
-
 def top_k(scores: DataFrame, k: int | Column, id: str = "chunk_id", digits: int = 9) -> DataFrame:
     """scores with their rank in each query, best first, ties by id; scores are compared as rounded."""
     w = W.partitionBy("qid").orderBy(F.round("score", digits).desc(), id)
@@ -86,32 +86,27 @@ PROMOTED = "qid string, chunk_id bigint, score double, rank int"
 
 
 def _promote(frames: pd.DataFrame) -> pd.DataFrame:
-    """Orders one query's window: each fact's newest version first, its superseded versions right below it."""
-    own = frames[frames["kind"] == "hit"].sort_values("rank")
-    scores = dict(zip(own["chunk_id"], own["score"]))
-    up: dict[int, list[int]] = {}
-    down: dict[int, list[int]] = {}
-    for r in frames[frames["kind"] == "link"].sort_values(["key", "chunk_id"]).itertuples():
-        up.setdefault(r.chunk_id, []).append(r.winner)
-        down.setdefault(r.winner, []).append(r.chunk_id)
-    out: list[int] = []
-    placed: set[int] = set()
-
-    def put(first: int) -> None:
-        todo = [first]
-        while todo:
-            i = todo.pop()
-            if i in placed:
-                continue
-            placed.add(i)
-            out.append(i)
-            todo.extend(j for j in reversed(down.get(i, [])) if j in scores)
-
-    for i in own["chunk_id"]:
-        if i not in placed:
-            for j in up.get(i, []):
-                put(j)
-            put(i)
+    """Orders one query's window by a key for each chunk: what brought it in, then its path below that.
+
+    A hit that has no key yet brings in its superseding chunks, in order of their facts, and then itself. A chunk below
+    another one has the other's key and its own turn among the chunks superseded by it, and the least key counts.
+    """
+    hits, links = frames[frames["kind"] == "hit"].sort_values("rank"), frames[frames["kind"] == "link"].sort_values(["key", "chunk_id"])
+    scores = dict(zip(hits["chunk_id"], hits["score"]))
+    winners, beaten = links.groupby("chunk_id")["winner"].agg(list).to_dict(), links[links["chunk_id"].isin(scores)].groupby("winner")["chunk_id"].agg(list).to_dict()
+    key: dict[int, tuple] = {}
+    for place, hit in enumerate(hits["chunk_id"]):
+        if hit in key:
+            continue
+        front = [((place, turn), root) for turn, root in enumerate([*winners.get(hit, []), hit]) if root not in key]
+        while front:
+            reached: dict[int, tuple] = {}
+            for path, chunk in front:
+                if path < key.get(chunk, (place + 1,)) and path < reached.get(chunk, (place + 1,)):
+                    reached[chunk] = path
+            key |= reached
+            front = [((*path, turn), below) for chunk, path in reached.items() for turn, below in enumerate(beaten.get(chunk, []))]
+    out = sorted(key, key=key.__getitem__)
     return pd.DataFrame({"qid": frames["qid"].iloc[0], "chunk_id": out, "score": [scores.get(i, 0.0) for i in out], "rank": range(1, len(out) + 1)})
 
 

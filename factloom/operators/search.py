@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import freshness as fr
@@ -15,12 +16,83 @@ from factloom.session import cut
 NONE_DAY, LAST_DAY = "0001-01-01", "9999-12-31"
 
 
-def index_tables(texts: DataFrame, stem: bool = True) -> dict[str, DataFrame]:
-    """docs, chunks (dated, with index tokens) and assertions of a table of notes (path, text, mtime), all written once."""
+def index_tables(texts: DataFrame, stem: bool = True, by_phrase: bool = True) -> dict[str, DataFrame]:
+    """docs, chunks (dated), postings (the forward index) and assertions of a table of notes (path, text, mtime), written once."""
     docs, chunks = notes.parse_notes(texts)
     docs = cut(docs)
-    dated = cut(notes.dated(cut(chunks), docs))
-    return {"docs": docs, "chunks": cut(with_index_tokens(dated, stem)), "assertions": cut(notes.assertions_of(dated, stem))}
+    dated = cut(notes.dated(cut(chunks), docs, by_phrase))
+    return {"docs": docs, "chunks": dated, "postings": cut(retrieval.forward(with_index_tokens(dated, stem))), "assertions": cut(notes.assertions_of(dated, stem))}
+
+
+def merged_tables(old: dict[str, DataFrame], new: dict[str, DataFrame], same: DataFrame) -> dict[str, DataFrame]:
+    """The tables of an index from what it had of the files in ``same`` (path) and the tables of all others; chunks are numbered anew."""
+    kept = lambda name: old[name].join(same, "path", "left_semi")
+    tagged = lambda df, of: df.withColumn("chunk_id", F.struct(F.lit(of).alias("of"), F.col("chunk_id").alias("n")))
+    chunks = tagged(kept("chunks"), 0).unionByName(tagged(new["chunks"], 1)).withColumnRenamed("chunk_id", "was")
+    chunks = cut(notes.with_ids(chunks))
+    number = chunks.select(F.col("was").alias("chunk_id"), F.col("chunk_id").alias("now"))
+    renumbered = lambda df: df.join(number, "chunk_id").drop("chunk_id").withColumnRenamed("now", "chunk_id").select(df.columns)
+    return {
+        "docs": cut(kept("docs").unionByName(new["docs"])), "chunks": chunks.drop("was"),
+        "postings": cut(renumbered(tagged(old["postings"], 0).unionByName(tagged(new["postings"], 1)))),
+        "assertions": cut(renumbered(tagged(kept("assertions"), 0).unionByName(tagged(new["assertions"], 1)))),
+    }
+
+
+def postings_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """The forward index of a set of tables: that of the saved index, or one made of the chunks' tokens."""
+    if "postings" not in tables:
+        tables["postings"] = cut(retrieval.forward(tables["chunks"]))
+    return tables["postings"]
+
+
+def links_of(tables: dict[str, DataFrame], as_of: date | None = None) -> DataFrame:
+    """(loser, winner, key) of the facts known by a day, worked out once for a set of tables."""
+    name = f"links {as_of}"
+    if name not in tables:
+        tables[name] = cut(facts.links(tables["assertions"], [as_of]).select("loser", "winner", "key"))
+    return tables[name]
+
+
+#: How many superseded chunks a hit or conflict lists; their number is given, and ``facts.losers`` has all of them.
+MOST_LISTED = 1000
+
+
+def listed(rows: DataFrame, by: list[str], item, order: list[str], out: str) -> DataFrame:
+    """(<by>, n_<out>, <out> array): the first MOST_LISTED rows of each group in order, and how many there are."""
+    w = W.partitionBy(*by).orderBy(*order)
+    first = rows.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= MOST_LISTED).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", item.alias("_item")))), lambda x: x["_item"]).alias(out))
+    return first.join(rows.groupBy(*by).agg(F.count("*").alias(f"n_{out}")), by)
+
+
+def with_provenance(found: DataFrame, tables: dict[str, DataFrame], as_of: date | None = None) -> DataFrame:
+    """Hits with facts (array), keys, superseded_by (cites), n_supersedes, supersedes (cites) and expired.
+
+    A chunk has as many facts as lines, and one superseding chunk for each fact.
+    """
+    found = cut(found)
+    mine = found.select("chunk_id").distinct()
+    rows = tables["assertions"].join(mine, "chunk_id", "left_semi")
+    fact = F.struct("key", "label", notes.display_value(F.col("raw_value")).alias("value"), "start", "source", "authority", F.col("origin"), "valid_from", "valid_until")
+    own = rows.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", fact.alias("f")))), lambda x: x["f"]).alias("facts"), F.array_sort(F.collect_set("key")).alias("keys"))
+    cites = tables["chunks"].select(F.col("chunk_id").alias("_other"), F.concat_ws(":", "path", "start_line").alias("_cite"))
+    links = links_of(tables, as_of)
+    up = links.join(mine, F.col("loser") == F.col("chunk_id"), "left_semi").select(F.col("loser").alias("chunk_id"), F.col("winner").alias("_other")).distinct().join(cites, "_other")
+    down = links.join(mine, F.col("winner") == F.col("chunk_id"), "left_semi").select(F.col("winner").alias("chunk_id"), F.col("loser").alias("_other")).distinct().join(cites, "_other")
+    out = found.join(own, "chunk_id", "left").join(up.groupBy("chunk_id").agg(F.array_sort(F.collect_set("_cite")).alias("superseded_by")), "chunk_id", "left")
+    out = out.join(listed(down, ["chunk_id"], F.col("_cite"), ["_other"], "supersedes"), "chunk_id", "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({"keys": F.coalesce("keys", none), "superseded_by": F.coalesce("superseded_by", none), "supersedes": F.coalesce("supersedes", none), "n_supersedes": F.coalesce("n_supersedes", F.lit(0))})
+
+
+def conflict_report(assertions: DataFrame) -> DataFrame:
+    """Conflicts with n_losers, losers (chunk ids) and values (chunk id to the last value as written there)."""
+    found = facts.conflicts(assertions).drop("cutoff")
+    beaten = facts.losers(assertions, facts.conflicts(assertions)).select("key", "loser").distinct()
+    said = assertions.join(found.select("key"), "key", "left_semi").groupBy("key", "chunk_id").agg(F.max_by("raw_value", "ord").alias("raw"))
+    values = listed(said, ["key"], F.struct("chunk_id", "raw"), ["chunk_id"], "values").select("key", F.map_from_entries("values").alias("values"))
+    out = found.join(listed(beaten, ["key"], F.col("loser"), ["loser"], "losers"), "key", "left").join(values, "key", "left")
+    return out.withColumns({"n_losers": F.coalesce("n_losers", F.lit(0)), "losers": F.coalesce("losers", F.array().cast("array<bigint>"))})
 
 
 def with_index_tokens(chunks: DataFrame, stem: bool = True) -> DataFrame:
@@ -44,7 +116,7 @@ def chunk_facts(assertions: DataFrame) -> DataFrame:
     return assertions.groupBy("chunk_id").agg(F.collect_list(F.coalesce("start", F.to_date(F.lit(NONE_DAY)))).alias("starts"), F.collect_list(F.coalesce("valid_until", F.to_date(F.lit(LAST_DAY)))).alias("untils"))
 
 
-def search(tables: dict[str, DataFrame], queries: DataFrame, *, k: int = 5, now: date, mode: str = "full", as_of: date | None = None, scores: DataFrame | None = None, cfg: fr.FreshnessConfig = fr.FreshnessConfig()) -> DataFrame:
+def search(tables: dict[str, DataFrame], queries: DataFrame, *, k: int = 5, now: date, mode: str = "full", as_of: date | None = None, scores: DataFrame | None = None, cfg: fr.Windows = fr.Windows()) -> DataFrame:
     """(qid, rank, chunk_id, cite, score, status, age, as_of, date_source, volatile, must_reverify, ...), k rows a question.
 
     ``scores`` (qid, chunk_id, score) replaces BM25 as the first stage. With ``as_of``, chunks known to be written or to
@@ -63,7 +135,7 @@ def search(tables: dict[str, DataFrame], queries: DataFrame, *, k: int = 5, now:
         "chunk_id", F.concat_ws(":", "path", "start_line").alias("cite"), "path", "start_line", "end_line", *long, "effective_date", "effective_source", "is_volatile", "starts",
         age.alias("age"), must.alias("must"), fr.status(age, must, cfg).alias("fresh"), fr.decay(age, cfg).alias("decay"), facts.expired_at(F.col("untils"), F.lit(when)).alias("expired"),
     )
-    raw = scores if scores is not None else retrieval.bm25(tables["chunks"], queries)
+    raw = scores if scores is not None else retrieval.bm25_of(postings_of(tables), queries)
     if as_of is not None:
         alive = state.filter(facts.exists_at(F.col("effective_date"), F.col("effective_source"), F.col("starts"), F.lit(as_of))).select("chunk_id")
         raw = raw.join(alive, "chunk_id", "left_semi")
@@ -71,7 +143,7 @@ def search(tables: dict[str, DataFrame], queries: DataFrame, *, k: int = 5, now:
         best = retrieval.top_k(raw, k).select("qid", "rank", "chunk_id", "score")
         shown = best.join(state, "chunk_id").withColumn("status", F.lit("UNKNOWN")).withColumn("must", F.lit(False)).withColumn("age", F.lit(None).cast("int"))
     else:
-        links = facts.links(tables["assertions"], [as_of]).select("loser", "winner", "key")
+        links = links_of(tables, as_of)
         beaten = links.select(F.col("loser").alias("chunk_id"), F.lit(True).alias("superseded")).distinct()
         rows = raw.join(state.select("chunk_id", "decay", "expired"), "chunk_id").join(beaten, "chunk_id", "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)))
         placed = retrieval.promote(retrieval.rerank_scores(rows), links, queries, k)
@@ -79,13 +151,14 @@ def search(tables: dict[str, DataFrame], queries: DataFrame, *, k: int = 5, now:
         shown = placed.join(state, "chunk_id").join(beaten, "chunk_id", "left").withColumn("status", status)
     return shown.select(
         "qid", "rank", "chunk_id", "cite", "path", "start_line", "end_line", *long, "score", "status", "age", F.col("effective_date").alias("as_of"), F.col("effective_source").alias("date_source"),
-        F.col("is_volatile").alias("volatile"), F.col("must").alias("must_reverify"),
+        F.col("is_volatile").alias("volatile"), F.col("must").alias("must_reverify"), "expired",
+        fr.note(F.col("age"), F.col("effective_date"), F.col("effective_source"), F.col("fresh"), F.col("must")).alias("freshness"),
     )
 
 
 def hybrid_scores(tables: dict[str, DataFrame], queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, *, depth: int = 50, as_of: date | None = None) -> DataFrame:
     """First-stage scores by reciprocal-rank fusion of the best ``depth`` by BM25 and by vectors (chunk_id, vec / qid, vec)."""
-    raw = retrieval.bm25(tables["chunks"], queries)
+    raw = retrieval.bm25_of(postings_of(tables), queries)
     if as_of is not None:
         arrays = F.coalesce("starts", F.expr("array()").cast("array<date>"))
         chunks = tables["chunks"].join(chunk_facts(tables["assertions"]), "chunk_id", "left")
@@ -95,14 +168,14 @@ def hybrid_scores(tables: dict[str, DataFrame], queries: DataFrame, vectors: Dat
     return retrieval.fuse([retrieval.top_k(raw, depth), dense])
 
 
-def stale(tables: dict[str, DataFrame], now: date, cfg: fr.FreshnessConfig = fr.FreshnessConfig()) -> DataFrame:
+def stale(tables: dict[str, DataFrame], now: date, cfg: fr.Windows = fr.Windows()) -> DataFrame:
     """Chunks to check again, oldest first: (cite, text, age, as_of, date_source)."""
     age = fr.age_days(F.col("effective_date"), F.lit(now))
     rows = tables["chunks"].withColumn("age", age).filter(fr.must_reverify(age, F.col("is_volatile"), cfg))
     return rows.select(F.concat_ws(":", "path", "start_line").alias("cite"), "text", "age", F.col("effective_date").alias("as_of"), F.col("effective_source").alias("date_source")).orderBy(F.coalesce("age", F.lit(0)).desc(), "cite")
 
 
-def explain(tables: dict[str, DataFrame], questions: dict[str, str], *, now: date, as_of: date | None = None, stem: bool = True, hits: DataFrame | None = None) -> DataFrame:
+def explain(tables: dict[str, DataFrame], questions: dict[str, str], *, now: date, as_of: date | None = None, stem: bool = True, hits: DataFrame | None = None, cfg: fr.Windows = fr.Windows()) -> DataFrame:
     """One row a question: qid, no_match, no_fact, nearest, key, label, status, resolved, reason, current, superseded, changed_after, timeline, freshness.
 
     The fact is the one picked among ten hits; lists hold the entries of that one fact. Without a hit as of the date the
@@ -111,10 +184,10 @@ def explain(tables: dict[str, DataFrame], questions: dict[str, str], *, now: dat
     spark, rows = tables["chunks"].sparkSession, tables["assertions"]
     queries = asked(spark, questions, as_of, stem)
     found = search(tables, queries, k=10, now=now, as_of=as_of) if hits is None else hits
+    found = cut(found.select("qid", "rank", "chunk_id", "cite"))
     if as_of is not None:
-        plain = search(tables, queries, k=10, now=now)
-        found = found.unionByName(plain.join(found.select("qid").distinct(), "qid", "left_anti"))
-    found = found.select("qid", "rank", "chunk_id", "cite")
+        plain = search(tables, queries, k=10, now=now).select("qid", "rank", "chunk_id", "cite")
+        found = cut(found.unionByName(plain.join(found.select("qid").distinct(), "qid", "left_anti")))
     near = found.groupBy("qid").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", "cite"))), 1, 3), lambda x: x["cite"]).alias("nearest"))
     picked = facts.pick_fact(found, rows, queries).select("qid", "key", F.col("chunk_id").alias("top"))
     ref = as_of or now
@@ -143,8 +216,8 @@ def explain(tables: dict[str, DataFrame], questions: dict[str, str], *, now: dat
     runs = F.when(c.isNull() | F.col("resolved").isNotNull() | (F.size(later) > 0), spans).otherwise(F.array(c))
     per = per.withColumn("runs", runs)
     line = F.transform("runs", lambda x, i: F.struct(x.alias("x"), F.get("runs", i + 1)["start"].alias("nxt"), (i == F.size("runs") - 1).alias("final")))
-    cut = lambda y: y["x"]["valid_until"].isNotNull() & (y["nxt"].isNull() | (y["x"]["valid_until"] < y["nxt"]))
-    line = F.transform(line, lambda y: F.struct(notes.display_value(y["x"]["raw_value"]).alias("value"), y["x"]["start"].alias("from"), F.when(cut(y), y["x"]["valid_until"]).otherwise(y["nxt"]).alias("to"), (~cut(y) & y["final"]).alias("present")))
+    early = lambda y: y["x"]["valid_until"].isNotNull() & (y["nxt"].isNull() | (y["x"]["valid_until"] < y["nxt"]))
+    line = F.transform(line, lambda y: F.struct(notes.display_value(y["x"]["raw_value"]).alias("value"), y["x"]["start"].alias("from"), F.when(early(y), y["x"]["valid_until"]).otherwise(y["nxt"]).alias("to"), (~early(y) & y["final"]).alias("present")))
     expired = c["valid_until"] < F.lit(ref)
     if as_of is None:
         status = F.when(expired, "expired").otherwise("known")
@@ -158,7 +231,7 @@ def explain(tables: dict[str, DataFrame], questions: dict[str, str], *, now: dat
         (F.transform(later, entry) if as_of is not None else none).alias("changed_after"), line.alias("timeline"), c["chunk_id"].alias("at"),
     )
     age = fr.age_days(F.col("effective_date"), F.lit(ref))
-    must = fr.must_reverify(age, F.col("is_volatile"))
-    fresh = tables["chunks"].select(F.col("chunk_id").alias("at"), F.struct(fr.status(age, must).alias("status"), age.alias("age_days"), F.col("effective_date").alias("as_of"), F.col("is_volatile").alias("volatile"), must.alias("must_reverify")).alias("freshness"))
+    must = fr.must_reverify(age, F.col("is_volatile"), cfg)
+    fresh = tables["chunks"].select(F.col("chunk_id").alias("at"), F.struct(fr.status(age, must, cfg).alias("status"), age.alias("age_days"), F.col("effective_date").alias("as_of"), F.col("is_volatile").alias("volatile"), must.alias("must_reverify")).alias("freshness"))
     out = queries.select("qid", "query").join(near, "qid", "left").join(told, "qid", "left").join(fresh, "at", "left").drop("at")
     return out.withColumn("no_match", F.col("nearest").isNull()).withColumn("no_fact", F.col("nearest").isNotNull() & F.col("key").isNull())

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -42,19 +41,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, which Spark's cleaner may remove; for small results of some work.
-
-    The rows are held on disk meanwhile, since a checkpoint alone would compute them twice.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.DISK_ONLY)
-    try:
-        return held.checkpoint(eager)
-    finally:
-        held.unpersist()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a table of its own in the checkpoint folder, computed once and compressed; see ``forget``.
 
@@ -72,6 +58,9 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+cut = stored
+
+
 def _hadoop(spark: SparkSession, place: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

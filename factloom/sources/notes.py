@@ -12,9 +12,12 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from factloom.session import spread
+
 # Fixed values.
 SUFFIXES = (".md", ".markdown")
 SKIPPED_DIRS = frozenset({"node_modules", "venv", "__pycache__"})
@@ -35,6 +38,17 @@ def scan(root: str | os.PathLike) -> list[tuple[str, int]]:
     return sorted(found)
 
 
+def read_file(root: str, name: str, max_bytes: int) -> tuple:
+    """A row of the source."""
+    path = os.path.join(root, name)
+    stat = os.stat(path)
+    if stat.st_size > max_bytes:
+        return (name, None, stat.st_mtime, stat.st_size, None, True)
+    with open(path, "rb") as f:
+        data = f.read()
+    return (name, data.decode("utf-8", "replace"), stat.st_mtime, len(data), hashlib.sha1(data, usedforsecurity=False).hexdigest(), False)
+
+
 class Pack(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -58,13 +72,7 @@ class NotesReader(DataSourceReader):
 
     def read(self, partition: Pack) -> Iterator[tuple]:
         for path in partition.paths:
-            stat, name = os.stat(path), Path(path).relative_to(self.root).as_posix()
-            if stat.st_size > self.max_bytes:
-                yield (name, None, stat.st_mtime, stat.st_size, None, True)
-                continue
-            with open(path, "rb") as f:
-                data = f.read()
-            yield (name, data.decode("utf-8", "replace"), stat.st_mtime, len(data), hashlib.sha1(data, usedforsecurity=False).hexdigest(), False)
+            yield read_file(self.root, Path(path).relative_to(self.root).as_posix(), self.max_bytes)
 
 
 class NotesSource(DataSource):
@@ -84,6 +92,26 @@ def read_notes(spark: SparkSession, root: str | os.PathLike, **options) -> DataF
     return spark.read.format("notes").options(path=str(root), **options).load()
 
 
+def list_notes(spark: SparkSession, root: str | os.PathLike) -> DataFrame:
+    """(path, mtime, size) of all note files, none of them read."""
+    rows = [(Path(p).relative_to(root).as_posix(), os.stat(p).st_mtime, size) for p, size in scan(root)]
+    return spark.createDataFrame(rows, "path string, mtime double, size bigint")
+
+
+def read_some(files: DataFrame, root: str | os.PathLike, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The rows of the source for the files named in a column path."""
+    top = str(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "text", "mtime", "size", "sha1", "skipped"]
+        kinds = [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.string(), pa.bool_()]
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(read_file(top, name, max_bytes), kinds)], names)
+
+    return spread(files.select("path"), "path").mapInArrow(run, SCHEMA)
+
+
 def from_texts(spark: SparkSession, texts: dict[str, str], mtimes: dict[str, float] | None = None) -> DataFrame:
     """Notes held in memory; times default to 0, which means undated."""
     rows = [(p, t, float((mtimes or {}).get(p, 0.0)), len(t.encode()), hashlib.sha1(t.encode(), usedforsecurity=False).hexdigest(), False) for p, t in sorted(texts.items())]

@@ -1,51 +1,95 @@
-"""Keeping the current value of every fact while assertions arrive as a stream.
+"""Keeping views up to date while notes and assertions arrive as streams.
 
-Facts may arrive late and be dated back, so no watermark may drop them. The state is one row for each key, day and
-rank, from which the winner follows for any order of arrival; each micro-batch is aggregated first and merged by the
-same maxima that the batch operators use, so a stream that has seen all rows gives the batch result.
+Facts may arrive late and be dated back, so no watermark may drop them. The winner of a fact is a maximum over its
+assertions, so each micro-batch is reduced to its own winners and written as one more layer; readers take the maximum
+over the layers, and every so many batches the layers are folded into one. A stream that has seen all rows gives the
+batch result, in whatever order they came; a batch that is run again replaces its own layer.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from factloom.operators import index, search
 from factloom.operators.facts import OLDEST, rank_of
 
-STATE = "key string, best struct<day:date,r:int,chunk_id:bigint,ord:bigint,value:string,raw_value:string>"
+STATE = "key string, best struct<day:date,r:int,chunk_id:bigint,ord:bigint,value:string,raw_value:string,valid_until:date>"
+#: Layers after which they are folded.
+MOST_LAYERS = 20
 
 
 def newest(assertions: DataFrame) -> DataFrame:
     """(key, best): the winning assertion of each key, newest start first, then authority, then chunk."""
-    best = F.struct(F.coalesce("start", F.to_date(F.lit(OLDEST))).alias("day"), rank_of(F.col("authority")).alias("r"), F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("ord").cast("bigint").alias("ord"), "value", "raw_value")
+    until = F.col("valid_until") if "valid_until" in assertions.columns else F.lit(None).cast("date")
+    best = F.struct(
+        F.coalesce("start", F.to_date(F.lit(OLDEST))).alias("day"), rank_of(F.col("authority")).alias("r"), F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("ord").cast("bigint").alias("ord"), "value", "raw_value",
+        until.alias("valid_until"),
+    )
     return assertions.filter("key is not null and value is not null").groupBy("key").agg(F.max(best).alias("best"))
 
 
+def _layers(home: index.Folder) -> list[int]:
+    """Numbers of the finished layers."""
+    return sorted(int(n[2:]) for n in home.names() if n.startswith("b=") and home.exists(f"{n}/_SUCCESS")) if home.exists() else []
+
+
+def _folded(layers: DataFrame) -> DataFrame:
+    return layers.groupBy("key").agg(F.max("best").alias("best"))
+
+
 def read_current(spark: SparkSession, folder: str) -> DataFrame:
     """The view as of the last finished batch."""
-    done = sorted(int(d[2:]) for d in os.listdir(folder) if d.startswith("v=")) if os.path.isdir(folder) else []
-    return spark.read.schema(STATE).parquet(f"file://{folder}/v={done[-1]}") if done else spark.createDataFrame([], STATE)
+    held = _layers(index.Folder(spark, folder))
+    return _folded(spark.read.schema(STATE).parquet(*[f"{folder}/b={n}" for n in held])) if held else spark.createDataFrame([], STATE)
+
+
+def expired_on(current: DataFrame, day) -> DataFrame:
+    """The keys whose value ended before a day; an end falls due on the day after it."""
+    return current.filter(F.col("best.valid_until") < F.lit(day)).select("key", F.date_add("best.valid_until", 1).alias("due"))
 
 
 def keep_current(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Starts the upkeep of a folder of versions, each written whole and renamed into place; a repeated batch does no harm."""
+    """Starts the upkeep of a folder of layers."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        os.makedirs(folder, exist_ok=True)
-        target, tmp = f"{folder}/v={number}", f"{folder}/_tmp-{number}"
-        if os.path.isdir(target):
-            return
-        shutil.rmtree(tmp, ignore_errors=True)
-        both = newest(batch).unionByName(read_current(spark, folder))
-        both.groupBy("key").agg(F.max("best").alias("best")).write.parquet(f"file://{tmp}")
-        os.rename(tmp, target)
-        for old in os.listdir(folder):
-            if old.startswith("v=") and int(old[2:]) < number - 1:
-                shutil.rmtree(f"{folder}/{old}")
+        home = index.Folder(spark, folder)
+        newest(batch).write.mode("overwrite").parquet(f"{folder}/b={number}")
+        held = [n for n in _layers(home) if n < number]
+        if len(held) >= MOST_LAYERS:
+            # The fold replaces the last of its layers, which it contains; the others go once it is there.
+            tmp, last = f"fold-{number}", f"b={held[-1]}"
+            _folded(spark.read.schema(STATE).parquet(*[f"{folder}/b={n}" for n in held])).write.mode("overwrite").parquet(f"{folder}/{tmp}")
+            home.drop(last)
+            home.move(tmp, last)
+            for n in held[:-1]:
+                home.drop(f"b={n}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_index(stream: DataFrame, folder: str, checkpoint: str, stem: bool = True) -> StreamingQuery:
+    """Starts the upkeep of a saved index by a stream of notes (path, text, mtime): each batch parses its own notes only.
+
+    The last row of a path in a batch counts, by mtime; a null text removes the note.
+    """
+
+    def upsert(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        w = W.partitionBy("path").orderBy(F.col("mtime").desc_nulls_last(), F.xxhash64("text"))
+        last = batch.filter("path is not null").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+        made = last.filter("text is not null").select("path", "text", "mtime", F.octet_length("text").cast("bigint").alias("size"), F.sha1(F.col("text").cast("binary")).alias("sha1"))
+        new = search.index_tables(made, stem)
+        files = made.select("path", "mtime", "size", "sha1")
+        try:
+            old = index.open_index(spark, folder)
+        except index.IndexMissing:
+            index.save({"files": files} | new, folder)
+            return
+        same = old["files"].join(last.select("path"), "path", "left_anti")
+        index.save({"files": same.unionByName(files)} | search.merged_tables(old, new, same.select("path")), folder)
+
+    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
