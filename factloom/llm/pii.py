@@ -58,6 +58,7 @@ _RULES = {
 _SAID = re.compile(rf"\s+(?P<at>{AT})\s+|\s+(?P<dot>{DOT})\s+", re.I)
 _FOREIGN = re.compile("[" + "".join(re.escape(chr(c)) for c in HOMOGLYPHS) + "]")
 _SPOKEN_DOTS = tuple(f" {w} " for w in DOT.split("|"))
+_SPOKEN = re.compile(rf"\s(?:{AT})\s+[\w-]+\s+(?:{DOT})\s")
 _BRACKETED = re.compile(rf"[(\[{{]\s*(?:{AT}|{DOT}|@|\.)\s*[)\]}}]", re.I)
 _INVISIBLE, _COMBINING = re.compile(_RULES["invisible"]), re.compile(r"[\u0300-\u036f]")
 
@@ -78,7 +79,7 @@ def _disguises(plain: str) -> tuple[str, ...]:
         found.append("spelled")
     if _BRACKETED.search(plain):
         found += ["at", "dot"]
-    if any(w in low for w in _SPOKEN_DOTS):
+    if any(w in low for w in _SPOKEN_DOTS) and _SPOKEN.search(low):
         found.append("said")
     if " @" in plain or "@ " in plain:
         found.append("spaced")
@@ -92,38 +93,37 @@ def deobfuscate(text: str) -> tuple[str, np.ndarray | None]:
     if not rules:
         return plain, None
     out: list[str] = []
-    at: list[int] = []
+    at: list[np.ndarray] = []
 
     def copy(a: int, b: int) -> None:
         out.append(plain[a:b])
-        at.extend(range(a, b))
+        at.append(np.arange(a, b))
+
+    def put(text: str, a: int) -> None:
+        out.append(text)
+        at.append(np.full(len(text), a))
 
     done = 0
     for m in _rewriting(rules).finditer(plain):
         copy(done, m.start())
         kind = m.lastgroup
         if kind in ("at", "dot", "spaced"):
-            out.append("." if kind == "dot" else "@")
-            at.append(m.start())
+            put("." if kind == "dot" else "@", m.start())
         elif kind == "composed":
-            whole = unicodedata.normalize("NFC", m.group())
-            out.append(whole)
-            at.extend([m.start()] * len(whole))
+            put(unicodedata.normalize("NFC", m.group()), m.start())
         elif kind == "spelled":
             for w in re.finditer(r"[^\W\d_]+", m.group()):
-                out.append(DIGIT_WORDS[w.group().lower()])
-                at.append(m.start() + w.start())
+                put(DIGIT_WORDS[w.group().lower()], m.start() + w.start())
         elif kind == "said":
             last = 0
             for s in _SAID.finditer(m.group()):
                 copy(m.start() + last, m.start() + s.start())
-                out.append("@" if s["at"] else ".")
-                at.append(m.start() + s.start())
+                put("@" if s["at"] else ".", m.start() + s.start())
                 last = s.end()
             copy(m.start() + last, m.end())
         done = m.end()
     copy(done, len(plain))
-    return "".join(out), np.array([*at, len(text)], np.int64)
+    return "".join(out), np.concatenate([*at, [len(text)]]).astype(np.int64)
 
 
 _EMAIL = re.compile(r"(?<![\w.+@/-])[^\W_][\w.+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w@])")
@@ -148,6 +148,9 @@ _ID = re.compile(
     r"|[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]{1,2}\d{6,8}|(?=[A-Z]*\d|[A-Z]{9}(?![A-Z]))[A-Z][A-Z0-9]{8}|\d{9,15}|\d{8}[A-Z])"
     r"(?![\w/]|[-.]\d)"
 )
+#: What every identity or phone number begins with, as a search that skips from one possible first character to the next.
+_ID_START = re.compile(r"[A-Z\d](?<![\w/+.-][A-Z\d])(?<!\d [A-Z\d])[A-Z\d /-]{7}")
+_PHONE_START = re.compile(r"[+(\d](?<![\w.,:/+#(-][+(\d])(?<!\d [+(\d])(?<!\) [+(\d])[\d ()./+-]{6}")
 _ID_CUE = re.compile(
     r"(?:\bssn\b|\bsocial\b|\bpass(?:port|eport|aporte)\b|\breisepass\b|\blicen[cs]e\b|\bführerschein\b|\bpermis\b|\bnational id\b|\bid[- ]?(?:card|number|no)\b|\bidentity\b|\bausweis|ausweis\b|\bpersonalausweis\b"
     r"|\bcédula\b|\bdni\b|\bnie\b|\bcarte d'identité\b|\btax(?:payer)?\b|\bsteuer|\bnif\b|\bsécu|\bsécurité sociale\b|\binsured\b|\binsurance\b|\bsozialversicherung|\bversicherten|\bnational insurance\b|\bseguridad social\b)",
@@ -228,6 +231,16 @@ class _Clauses:
         return self.plain[b : m.start() if m else len(self.plain)]
 
 
+def _from(start: re.Pattern, whole: re.Pattern, text: str) -> Iterator[re.Match]:
+    """The matches of ``whole``, tried only where ``start`` matches, which each of them does."""
+    at = 0
+    while m := start.search(text, at):
+        w = whole.match(text, m.start())
+        if w:
+            yield w
+        at = w.end() if w else m.start() + 1
+
+
 def _last(pattern: re.Pattern, text: str) -> int:
     """Where the last match ends; -1 without one."""
     return max((m.end() for m in pattern.finditer(text)), default=-1)
@@ -250,13 +263,13 @@ def detect(text: str) -> tuple[str, np.ndarray | None, list[tuple[str, int, int]
             if any(w in low for w in _SPANISH_WORDS):
                 places += [m.span() for m in _SPANISH.finditer(plain)]
             spans += [("address", a, b) for a, b in sorted(places) if taken.add(a, b)]
-        for m in _ID.finditer(plain):
+        for m in _from(_ID_START, _ID, plain):
             a, b = m.span()
             before = clauses.before(a)
             cue, other = _last(_ID_CUE, before), _last(_NO_ID, before)  # the nearer one tells what the number is
             if (cue > other or cue == other and _ID_CUE.search(clauses.after(b))) and taken.add(a, b):
                 spans.append(("id_number", a, b))
-        for m in _PHONE.finditer(plain) if digits else ():
+        for m in _from(_PHONE_START, _PHONE, plain) if digits else ():
             a, b = m.span()
             if 8 <= sum(c.isdigit() for c in m.group()) <= 15 and not _NO_PHONE.search(clauses.before(a)) and taken.add(a, b):
                 spans.append(("phone", a, b))
@@ -280,7 +293,7 @@ MOST_WORDS = 1_000_000
 def word_evidence(known: dict[str, set[str]]):
     """Counts of words by case, and of capitalised words beside known parts of names: (word, kind, partner, n)."""
     given, family = known["given"], known["family"]
-    spelled = {f(w) for part in known.values() for w in part for f in (str.lower, str.upper, str.title, str.capitalize, _titled)}
+    spelled = {f(w) for part in known.values() for w in part for f in (str.upper, str.title, str.capitalize, _titled)}
 
     def beside(plain: str, seen: Counter) -> None:
         words = [m for m in _WORD.finditer(plain) if m.group()[0].isupper()]
@@ -395,7 +408,9 @@ def bloom_has(bloom: bytes, word: str) -> bool:
 
 def name_candidates(plain: str, maybe) -> list[tuple[int, int, str, str]]:
     """(start, end, given or "" for an initial, family) of word pairs that may be names."""
-    if not any(map(maybe, set(_WORD.findall(plain)))):
+    bare = _WORD.findall(plain)
+    likely = [k for k, w in enumerate(bare) if maybe(w)]
+    if not any((k and len(bare[k - 1]) == 1) or (k + 1 < len(bare) and (len(bare[k + 1]) == 1 or maybe(bare[k + 1]))) for k in likely):
         return []
     found = []
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(plain)]
