@@ -75,7 +75,7 @@ def _disguises(plain: str) -> tuple[str, ...]:
         found += ["invisible"] * bool(_INVISIBLE.search(plain)) + ["composed"] * bool(_COMBINING.search(plain))
     low = plain.lower()
     words = low.replace("-", " ").split()
-    if not _DIGIT_SET.isdisjoint(words) and sum(w.strip(",.;:") in _DIGIT_SET for w in words) >= 6:
+    if sum(map(_DIGIT_SET.__contains__, words)) >= 5:  # the last of six may have a sign behind it
         found.append("spelled")
     if _BRACKETED.search(plain):
         found += ["at", "dot"]

@@ -68,21 +68,29 @@ def hashed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flat[np.argsort(owner, kind="stable")], sizes.astype(np.int32)
 
 
+class _Hashes(dict):
+    """Hashes of words, worked out when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = _word_hash(word)
+        return code
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[str, int] = {}
+    memo = _Hashes()
     for batch in batches:
         if len(memo) > MOST_WORDS:
-            memo = {}
-        flats, sizes = [], []
-        for text in batch.column(2).to_pylist():
-            words = tokens_of(text)
-            for w in set(words).difference(memo):
-                memo[w] = _word_hash(w)
-            flat, size = hashed(np.array([memo[w] for w in words], np.int64))
-            flats.append(flat)
-            sizes.append(size)
-        lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *parts])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(flats), lists(sizes)], ["id", "mask", "flat", "sizes"])
+            memo = _Hashes()
+        docs = [tokens_of(text) for text in batch.column(2).to_pylist()]
+        # One run of codes for the batch; a mark between two documents ends the sentence before it.
+        codes = np.concatenate([np.empty(0, np.int64), *(np.append(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)), -1) for words in docs)])
+        flat, sizes = hashed(codes)
+        begins = (codes >= 0) & np.append(True, codes[:-1] < 0)[: len(codes)]
+        ends = np.cumsum([len(words) + 1 for words in docs]).astype(np.int64)
+        sentences = np.append(0, np.cumsum(begins)[ends - 1]) if len(docs) else np.zeros(1, np.int64)
+        buckets = np.append(0, np.cumsum(sizes))[sentences]
+        lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(buckets, flat), lists(sentences, sizes)], ["id", "mask", "flat", "sizes"])
 
 
 def complement_weights(counts: np.ndarray, n_class: np.ndarray, alpha: float) -> np.ndarray:
