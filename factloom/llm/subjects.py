@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import spread, stored
+from factloom.session import forget, spread, stored
 
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
@@ -270,4 +270,6 @@ def assign_subjects(
     table = F.array(*[F.struct(F.lit(n).alias("subject"), F.lit(k).alias("at"), F.lit(a).alias("slope"), F.lit(b).alias("offset")) for k, (n, (a, b)) in enumerate(zip(names, curves))])
     told = shares.select("id", "share", F.explode(table).alias("s")).withColumn("x", F.get("share", F.col("s.at")))
     told = told.withColumn("probability", 1 / (1 + F.exp(-(F.col("x") * F.col("s.slope") + F.col("s.offset")))))
-    return told.filter(F.col("probability") >= least).select(F.col("id").alias(id), F.col("s.subject").alias("subject"), F.col("x").alias("share"), "probability").distinct()
+    out = stored(told.filter(F.col("probability") >= least).select(F.col("id").alias(id), F.col("s.subject").alias("subject"), F.col("x").alias("share"), "probability").distinct())
+    forget(docs)
+    return out
