@@ -121,9 +121,9 @@ def search(tables: dict[str, DataFrame], queries: DataFrame, *, k: int = 5, now:
 
     ``scores`` (qid, chunk_id, score) replaces BM25 as the first stage. With ``as_of``, chunks known to be written or to
     take effect later are left out, supersession counts facts in effect by then, and ages are measured from then; corpus
-    figures stay those of the whole corpus. Columns heading_path and text are given where the table of chunks has them.
+    figures stay those of the whole corpus. Mode ranked leaves out promotion, bm25 all but the first stage. Columns heading_path and text are given where the table of chunks has them.
     """
-    if mode not in ("full", "bm25"):
+    if mode not in ("full", "ranked", "bm25"):
         raise ValueError(f"unknown mode {mode!r}")
     when = as_of or now
     arrays = lambda c: F.coalesce(c, F.expr("array()").cast("array<date>"))
@@ -146,7 +146,8 @@ def search(tables: dict[str, DataFrame], queries: DataFrame, *, k: int = 5, now:
         links = links_of(tables, as_of)
         beaten = links.select(F.col("loser").alias("chunk_id"), F.lit(True).alias("superseded")).distinct()
         rows = raw.join(state.select("chunk_id", "decay", "expired"), "chunk_id").join(beaten, "chunk_id", "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)))
-        placed = retrieval.promote(retrieval.rerank_scores(rows), links, queries, k)
+        scored = retrieval.rerank_scores(rows)
+        placed = retrieval.promote(scored, links, queries, k) if mode == "full" else retrieval.top_k(scored, k).select("qid", "chunk_id", "score", "rank")
         status = F.when(F.coalesce("superseded", F.lit(False)), "SUPERSEDED").when(F.col("expired"), "EXPIRED").otherwise(F.col("fresh"))
         shown = placed.join(state, "chunk_id").join(beaten, "chunk_id", "left").withColumn("status", status)
     return shown.select(

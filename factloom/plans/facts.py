@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.text import content_words, normalized, words_of
-from factloom.operators import evaluate, facts, notes, retrieval
+from factloom.functions.text import content_words, normalized, with_tokens, words_of
+from factloom.operators import evaluate, facts, notes, retrieval, search
 from factloom.plans import texts
-from factloom.session import load
+from factloom.session import cut, load
 
 CUTOFFS = (date(2021, 1, 1), date(2023, 1, 1), date(2025, 1, 1))
 SINCE, UNTIL = date(2023, 6, 1), date(2024, 6, 1)
@@ -206,10 +207,21 @@ def span_contains(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
-    """A result table for the metrics: ten places for each labelled document, the right one where its number says."""
+    """A result table for the metrics: each labelled document is asked for by the words of its entity and title.
+
+    rank is its place among ten hits of BM25, stale whether another content of its entity and title is newer, ms a stand-in.
+    """
+    docs = load(spark, sf_dir, "documents")
     labels = load(spark, sf_dir, "doc_labels").filter("subject is not null").select(F.col("doc_id").alias("id"), F.col("subject").alias("category"), "rater").distinct()
-    place = F.pmod(F.col("id"), F.lit(12)) + 1
-    return labels.select("id", "category", F.concat("category", F.lit("/"), "rater").alias("case"), F.when(place <= 10, place).alias("rank"), (F.pmod("id", F.lit(7)) < 2).alias("stale"), (F.pmod("id", F.lit(5)) == 0).alias("answered"), (F.pmod("id", F.lit(97)) / 10.0).alias("ms"))
+    wanted = docs.join(labels.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    named = with_tokens(wanted.withColumn("name", F.concat_ws(" ", "entity", "title")), "name", "terms").select(F.col("doc_id").cast("string").alias("qid"), F.array_distinct("terms").alias("terms"))
+    best = retrieval.top_k(retrieval.bm25(texts.tokens(spark, sf_dir), named), 10)
+    own = best.filter(F.col("qid") == F.col("chunk_id").cast("string")).select(F.col("chunk_id").alias("id"), "rank")
+    key = F.lower(F.concat_ws(" ", "entity", "title"))
+    newest = docs.filter("entity is not null and title is not null and updated is not null").groupBy(key.alias("key")).agg(F.max("updated").alias("newest"))
+    states = docs.join(newest, key == F.col("key"), "left").select(F.col("doc_id").alias("id"), F.coalesce(F.col("updated") < F.col("newest"), F.lit(False)).alias("stale"), (F.col("n_chars") % 997 / 10.0).alias("ms"))
+    found = labels.join(own, "id", "left").join(states, "id").join(best.select(F.col("qid").cast("long").alias("id"), F.lit(True).alias("any")).distinct(), "id", "left")
+    return found.select("id", "category", F.concat("category", F.lit("/"), "rater").alias("case"), "rank", "stale", F.coalesce("any", F.lit(False)).alias("answered"), "ms")
 
 
 def eval_metrics(spark, sf_dir):
@@ -233,13 +245,18 @@ def failure_counts(spark, sf_dir):
 
 
 def bench_systems(spark, sf_dir):
-    """Places that grep, BM25, stemmed BM25 and the full search agree on, by system and question."""
-    runs = {"grep": texts.grep_score, "bm25": texts.bm25_topk, "bm25_stemmed": texts.bm25_stemmed, "full": texts.rerank}
-    out = None
-    for name, run in runs.items():
-        one = run(spark, sf_dir).filter("rank <= 5").select(F.lit(name).alias("system"), "qid", "rank", "doc_id")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The five best places of each system for each question. The two vector systems ask with the vectors of stated documents."""
+    from factloom.plans import search as plans
+
+    runs = {"grep": texts.grep_score, "bm25": texts.bm25_topk, "bm25_stemmed": texts.bm25_stemmed, "full": plans.rerank}
+    found = [run(spark, sf_dir).filter("rank <= 5").select(F.lit(name).alias("system"), "qid", "rank", "doc_id") for name, run in runs.items()]
+    tables = plans.document_tables(spark, sf_dir)
+    asked, vectors, vecs = plans.alike(spark, sf_dir, tables)
+    near = cut(retrieval.cosine_top_k(vectors, vecs, 50, id="chunk_id", vec="vec"))
+    layered = search.search(tables, asked, k=5, now=texts.NOW, mode="ranked", scores=near.select("qid", "chunk_id", F.greatest("score", F.lit(0.0)).alias("score")))
+    for name, rows in {"embed": near.filter("rank <= 5"), "embed_layer": layered}.items():
+        found.append(rows.select(F.lit(name).alias("system"), "qid", "rank", F.col("chunk_id").alias("doc_id")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def temporal_systems(spark, sf_dir):
@@ -277,10 +294,16 @@ _PICK = (
     _OVER + ", ht AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY max(overlap) DESC, chunk_id) AS rank FROM (SELECT DISTINCT chunk_id, key FROM a) JOIN ko USING (key) GROUP BY qid, chunk_id QUALIFY rank <= 10), "
     "pk AS (SELECT qid, a.key, chunk_id, ko.overlap FROM ht JOIN a USING (chunk_id) JOIN ko USING (qid, key) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ko.overlap DESC, rank, length(a.key), entry_id, a.key) = 1)"
 )
-_RANKED = """rd AS (SELECT DISTINCT doc_id AS id, subject AS category, subject || '/' || rater AS case_, CASE WHEN doc_id % 12 + 1 <= 10 THEN doc_id % 12 + 1 END AS rank, doc_id % 7 < 2 AS stale, doc_id % 5 = 0 AS answered, (doc_id % 97) / 10.0 AS ms FROM doc_labels WHERE subject IS NOT NULL),
-gr AS (SELECT *, CASE WHEN rank IS NULL AND NOT answered THEN 'no_answer' WHEN stale AND coalesce(rank, 99) > 1 THEN 'stale' WHEN rank = 1 OR (answered AND NOT stale) THEN 'correct' ELSE 'wrong' END AS outcome FROM rd)"""
 _NORM = "replace(replace(strip_accents(lower(nfc_normalize({x}))), 'ß', 'ss'), 'ς', 'σ')"
 _LIST = r"list_filter(list_transform(regexp_extract_all({x}, '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)?'), lambda x: regexp_replace(regexp_replace(x, '[''’]s$', ''), '[''’]', '', 'g')), lambda x: x <> '' {and_})"
+_RANKED = (texts._POST + """, lb AS (SELECT DISTINCT doc_id AS id, subject AS category, subject || '/' || rater AS case_ FROM doc_labels WHERE subject IS NOT NULL),
+q AS (SELECT DISTINCT doc_id AS qid, unnest(list_filter({names}, lambda x: x NOT IN ({stop}))) AS term FROM documents WHERE doc_id IN (SELECT id FROM lb)), d AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term),
+b AS (SELECT qid, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN p USING (term) JOIN d USING (term) JOIN l USING (doc_id), s GROUP BY qid, doc_id),
+bb AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b QUALIFY rank <= 10),
+nw AS (SELECT lower(entity || ' ' || title) AS key, max(updated) AS newest FROM documents WHERE entity IS NOT NULL AND title IS NOT NULL GROUP BY 1),
+rd AS (SELECT id, category, case_, bb.rank, coalesce(updated < newest, false) AS stale, id IN (SELECT qid FROM bb) AS answered, (n_chars % 997) / 10.0 AS ms
+  FROM lb JOIN documents ON documents.doc_id = id LEFT JOIN bb ON bb.qid = id AND bb.doc_id = id LEFT JOIN nw ON nw.key = lower(entity || ' ' || title)),
+gr AS (SELECT *, CASE WHEN rank IS NULL AND NOT answered THEN 'no_answer' WHEN stale AND coalesce(rank, 99) > 1 THEN 'stale' WHEN rank = 1 OR (answered AND NOT stale) THEN 'correct' ELSE 'wrong' END AS outcome FROM rd)""").replace("{names}", _LIST.replace("{x}", _NORM.format(x="concat_ws(' ', entity, title)"), 1).replace("{and_}", "")).replace("{stop}", texts._STOP)
 _D = lambda c: f"strftime({c}, '%Y-%m-%d')"
 _CUST = "cu AS (SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '.md' AS path, * FROM customer)"
 
@@ -331,9 +354,9 @@ UNION ALL SELECT path, CAST(6 + 4 * k AS INT), CAST(6 + 4 * k AS INT), 'item', c
 SELECT path, array_to_string(k, ' ') AS key, lower(c_mktsegment) AS value, '2024-05-01' AS start, 'front-matter:updated' AS source FROM n
 UNION ALL SELECT path, array_to_string(list_sort(['order', CAST(o_orderkey AS VARCHAR), 'status']), ' '), lower(o_orderstatus), {_D('o_orderdate')}, 'heading' FROM cu JOIN orders ON o_custkey = c_custkey""",
     "span_contains": "WITH c AS (SELECT DISTINCT chunk_id, path, start_line, end_line FROM chunks), m AS (SELECT path, CAST(floor((min(start_line) + max(end_line)) / 2.0) AS INT) AS line FROM c GROUP BY path) SELECT chunk_id, path, line FROM c JOIN m USING (path) WHERE line BETWEEN start_line AND end_line",
-    "eval_metrics": f"WITH {_RANKED} SELECT coalesce(category, 'all') AS category, count(*) AS n, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 3) AS r1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 3) AS r5, round(avg(coalesce(1.0 / rank, 0)), 3) AS mrr, round(avg(CASE WHEN stale THEN CASE WHEN coalesce(rank, 99) > 1 THEN 1.0 ELSE 0 END END), 3) AS stale_rate FROM rd GROUP BY GROUPING SETS ((category), ())",
-    "latency_quantiles": f"WITH {_RANKED}, s AS (SELECT category, list_sort(list(ms)) AS v FROM rd GROUP BY category) SELECT category, round(CAST(CASE WHEN len(v) % 2 = 1 THEN v[len(v) // 2 + 1] ELSE (v[len(v) // 2] + v[len(v) // 2 + 1]) / 2.0 END AS DOUBLE), 6) AS p50, CAST(v[least(len(v), CAST(floor(0.95 * len(v)) AS BIGINT) + 1)] AS DOUBLE) AS p95, CAST(v[least(len(v), CAST(floor(0.99 * len(v)) AS BIGINT) + 1)] AS DOUBLE) AS p99 FROM s",
-    "grade_outcome": f"WITH {_RANKED} SELECT id, case_ AS \"case\", outcome FROM gr",
-    "temporal_summary": f"WITH {_RANKED}, z AS (SELECT *, CASE WHEN id % 10 < 3 THEN 'heldout' ELSE 'dev' END AS split FROM gr) SELECT split, coalesce(category, 'all') AS category, count(*) AS n, round(avg(CASE WHEN outcome = 'correct' THEN 1.0 ELSE 0 END), 3) AS accuracy, round(avg(CASE WHEN outcome = 'stale' THEN 1.0 ELSE 0 END), 3) AS stale_rate FROM z GROUP BY GROUPING SETS ((split, category), (split))",
-    "failure_counts": f"WITH {_RANKED} SELECT category, outcome, count(*) AS n FROM gr WHERE outcome <> 'correct' GROUP BY ALL",
+    "eval_metrics": "WITH" + _RANKED + " SELECT coalesce(category, 'all') AS category, count(*) AS n, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END), 3) AS r1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 3) AS r5, round(avg(coalesce(1.0 / rank, 0)), 3) AS mrr, round(avg(CASE WHEN stale THEN CASE WHEN coalesce(rank, 99) > 1 THEN 1.0 ELSE 0 END END), 3) AS stale_rate FROM rd GROUP BY GROUPING SETS ((category), ())",
+    "latency_quantiles": "WITH" + _RANKED + ", s2 AS (SELECT category, list_sort(list(ms)) AS v FROM rd GROUP BY category) SELECT category, round(CAST(CASE WHEN len(v) % 2 = 1 THEN v[len(v) // 2 + 1] ELSE (v[len(v) // 2] + v[len(v) // 2 + 1]) / 2.0 END AS DOUBLE), 6) AS p50, CAST(v[least(len(v), CAST(floor(0.95 * len(v)) AS BIGINT) + 1)] AS DOUBLE) AS p95, CAST(v[least(len(v), CAST(floor(0.99 * len(v)) AS BIGINT) + 1)] AS DOUBLE) AS p99 FROM s2",
+    "grade_outcome": "WITH" + _RANKED + " SELECT id, case_ AS \"case\", outcome FROM gr",
+    "temporal_summary": "WITH" + _RANKED + ", z AS (SELECT *, CASE WHEN id % 10 < 3 THEN 'heldout' ELSE 'dev' END AS split FROM gr) SELECT split, coalesce(category, 'all') AS category, count(*) AS n, round(avg(CASE WHEN outcome = 'correct' THEN 1.0 ELSE 0 END), 3) AS accuracy, round(avg(CASE WHEN outcome = 'stale' THEN 1.0 ELSE 0 END), 3) AS stale_rate FROM z GROUP BY GROUPING SETS ((split, category), (split))",
+    "failure_counts": "WITH" + _RANKED + " SELECT category, outcome, count(*) AS n FROM gr WHERE outcome <> 'correct' GROUP BY ALL",
 }

@@ -186,25 +186,6 @@ def bm25_stemmed(spark, sf_dir):
     return retrieval.top_k(retrieval.bm25(flat, asked), 5).select("qid", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-def doc_state(spark, sf_dir) -> DataFrame:
-    """chunk_id with decay, superseded and expired, derived from the id for lack of parsed dates."""
-    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.expr(DAY).alias("day"), (F.col("doc_id") % 5 == 0).alias("superseded"), (F.col("doc_id") % 13 == 0).alias("expired"), F.lit(False).alias("volatile"))
-    return assessed(rows)
-
-
-def _reranked(spark, sf_dir):
-    return retrieval.rerank_scores(_scores(spark, sf_dir).join(doc_state(spark, sf_dir), "chunk_id"))
-
-
-def rerank(spark, sf_dir):
-    return retrieval.top_k(_reranked(spark, sf_dir), 5).select("qid", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
-
-
-def search_full(spark, sf_dir):
-    state = F.when(F.col("superseded"), "SUPERSEDED").when(F.col("expired"), "EXPIRED").otherwise(F.col("status"))
-    return retrieval.top_k(_reranked(spark, sf_dir), 10).select("qid", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), state.alias("status"), "age")
-
-
 def grep_score(spark, sf_dir):
     asked = questions(spark).select("qid", F.array_distinct("terms").alias("terms"))
     low = documents(spark, sf_dir).select("doc_id", F.lower("text").alias("low"))
@@ -220,10 +201,15 @@ def rotate_partition(spark, sf_dir, keep_days: int = 365):
     return old.groupBy(F.date_format("verified", "yyyy-MM").alias("month")).agg(F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars"))
 
 
+#: Scans of the folder before this time make the old manifest, later ones the new one.
+SECOND_SCAN = "2026-11-13 00:00:00"
+
+
 def _manifests(spark, sf_dir):
     scan = load(spark, sf_dir, "note_files").select("path", "mtime", F.col("n_bytes").alias("size"), F.col("sha1_hex").alias("sha1"), "scanned_at").filter("path is not null")
-    pick = lambda best, at: scan.groupBy("path").agg(best(F.struct("mtime", "size", "sha1"), F.struct("scanned_at", "sha1", "mtime")).alias("s")).select("path", "s.*").filter(at)
-    return pick(F.min_by, "pmod(size, 10) != 0"), pick(F.max_by, "pmod(size, 7) != 0")
+    last = lambda rows: rows.groupBy("path").agg(F.max_by(F.struct("mtime", "size", "sha1"), F.struct("scanned_at", "sha1", "mtime")).alias("s")).select("path", "s.*")
+    second = F.col("scanned_at") >= F.to_timestamp_ntz(F.lit(SECOND_SCAN))
+    return last(scan.filter(~second)), last(scan.filter(second))
 
 
 def incremental_diff(spark, sf_dir):
@@ -232,7 +218,7 @@ def incremental_diff(spark, sf_dir):
 
 
 def index_version(spark, sf_dir):
-    return index.version_of(_manifests(spark, sf_dir)[1])
+    return index.version_of(scans(spark, sf_dir).select("path", F.col("sha1_hex").alias("sha1")))
 
 
 def _vectors(spark, sf_dir):
@@ -248,29 +234,9 @@ def cosine_topk(spark, sf_dir):
     return found.select("qid", "rank", F.col("chunk_id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
-def _sparse(spark, sf_dir):
-    """A second ranking of the vectors for each query: by distance of ids, near ones first."""
-    ids = load(spark, sf_dir, "embeddings").select("vec_id")
-    asked = _vector_queries(spark, sf_dir).select("qid")
-    near = ids.crossJoin(F.broadcast(asked)).select("qid", F.col("vec_id").alias("chunk_id"), (-F.abs(F.col("vec_id") - F.col("qid").cast("long"))).cast("double").alias("score"))
-    return retrieval.top_k(near, 10)
-
-
-def rrf_fuse(spark, sf_dir):
-    dense = retrieval.cosine_top_k(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 10, id="vec_id", vec="embedding")
-    return retrieval.fuse([dense, _sparse(spark, sf_dir)]).select("qid", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"))
-
-
-def hybrid_rrf(spark, sf_dir):
-    dense = retrieval.cosine_top_k(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 10, id="vec_id", vec="embedding")
-    state = assessed(_vectors(spark, sf_dir).select(F.col("vec_id").alias("chunk_id"), F.expr("date_add(date'2025-01-01', cast(vec_id % 700 as int))").alias("day"), (F.col("vec_id") % 5 == 0).alias("superseded"), F.lit(False).alias("expired"), F.lit(False).alias("volatile")))
-    fused = retrieval.rerank_scores(retrieval.fuse([dense, _sparse(spark, sf_dir)]).join(state, "chunk_id"))
-    return retrieval.top_k(fused, 5).select("qid", "rank", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"))
-
-
 _NAMES = """normalize_text words word_count stopword_filter tokens_raw tokens_stemmed stem_vocab doc_lines paragraph_chunks phrase_contains volatile_detect file_sha1 oversize_skip
-mtime_date effective_date freshness_age freshness_status must_reverify decay chunk_doc_join stale_list term_freq doc_freq corpus_stats bm25_idf bm25_topk bm25_stemmed rerank search_full
-grep_score rotate_partition incremental_diff index_version cosine_topk rrf_fuse hybrid_rrf""".split()
+mtime_date effective_date freshness_age freshness_status must_reverify decay chunk_doc_join stale_list term_freq doc_freq corpus_stats bm25_idf bm25_topk bm25_stemmed
+grep_score rotate_partition incremental_diff index_version cosine_topk""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in __import__("factloom.functions.text", fromlist=["STOPWORDS"]).STOPWORDS)
@@ -284,11 +250,6 @@ _BM25 = (
     _POST + ", " + _ASKED + ", d AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term), "
     "b AS (SELECT qid, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN p USING (term) JOIN d USING (term) JOIN l USING (doc_id), s GROUP BY qid, doc_id)"
 )
-_STATE = (
-    "st AS (SELECT doc_id, greatest(0, DATE '2026-09-29' - (DATE '2025-01-01' + CAST(doc_id % 700 AS INT))) AS age, doc_id % 5 = 0 AS superseded, doc_id % 13 = 0 AS expired FROM documents), "
-    "rr AS (SELECT qid, doc_id, age, superseded, expired, score * (0.75 + 0.25 * pow(0.5, age / 180.0)) * CASE WHEN superseded OR expired THEN 0.6 ELSE 1 END AS score FROM b JOIN st USING (doc_id)), "
-    "rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM rr)"
-)
 _VOLATILE = "(?i)" + "|".join(fr.VOLATILE_PATTERNS)
 _SCANS = "f AS (SELECT path, mtime, n_bytes, sha1_hex, title, entity FROM note_files WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC, mtime DESC, n_bytes DESC, sha1_hex DESC, title DESC NULLS LAST, entity DESC NULLS LAST) = 1)"
 _DATED = (
@@ -301,14 +262,9 @@ _DATED = (
 _COS = (
     "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v), "
     "dn AS (SELECT CAST(a.vec_id AS VARCHAR) AS qid, b.vec_id, list_dot_product(a.e, b.e) / (CASE WHEN a.n = 0 THEN 1 ELSE a.n END * CASE WHEN b.n = 0 THEN 1 ELSE b.n END) AS score FROM u a, u b WHERE a.vec_id % 100 = 0), "
-    "dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM dn QUALIFY rank <= 10), "
-    "sr AS (SELECT CAST(a.vec_id AS VARCHAR) AS qid, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY abs(b.vec_id - a.vec_id), b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 QUALIFY rank <= 10), "
-    "fu AS (SELECT qid, vec_id, sum(1 / (60.0 + rank)) AS score FROM (SELECT qid, vec_id, rank FROM dr UNION ALL SELECT qid, vec_id, rank FROM sr) GROUP BY ALL)"
-)
-_MANIFEST = (
-    "o AS (SELECT path, mtime, n_bytes AS size, sha1_hex AS sha1 FROM note_files WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY scanned_at, sha1_hex, mtime) = 1), "
-    "n AS (SELECT path, mtime, n_bytes AS size, sha1_hex AS sha1 FROM note_files WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC, sha1_hex DESC, mtime DESC) = 1)"
+    "dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank FROM dn)"
 )
+_LAST = "(SELECT path, mtime, n_bytes AS size, sha1_hex AS sha1 FROM note_files WHERE path IS NOT NULL AND scanned_at {when} TIMESTAMP '" + SECOND_SCAN + "' QUALIFY row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC, sha1_hex DESC, mtime DESC) = 1)"
 
 ORACLE = {
     "normalize_text": r"SELECT doc_id, trim(regexp_replace(replace(replace(strip_accents(lower(nfc_normalize(text))), 'ß', 'ss'), 'ς', 'σ'), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM documents",
@@ -337,15 +293,10 @@ SELECT doc_id, min(n) AS first, max(n) AS last, CAST(sum(length(line)) AS BIGINT
     "corpus_stats": "WITH" + _POST + " SELECT n, round(avgdl, 6) AS avgdl FROM s",
     "bm25_idf": "WITH" + _POST + " SELECT term, round(ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM p, s GROUP BY term, n",
     "bm25_topk": "WITH" + _BM25 + " SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM b QUALIFY rank <= 5",
-    "rerank": "WITH" + _BM25 + ", " + _STATE + " SELECT qid, rank, doc_id, round(score, 6) AS score FROM rk WHERE rank <= 5",
-    "search_full": "WITH" + _BM25 + ", " + _STATE + " SELECT qid, rank, doc_id, round(score, 6) AS score, CASE WHEN superseded THEN 'SUPERSEDED' WHEN expired THEN 'EXPIRED' WHEN age > 365 THEN 'STALE' WHEN age <= 90 THEN 'FRESH' ELSE 'AGING' END AS status, age FROM rk WHERE rank <= 10",
     "grep_score": "WITH " + _ASKED + ", g AS (SELECT qid, doc_id, CAST(sum(CAST(contains(lower(text), term) AS INT)) AS INT) AS score FROM documents, q GROUP BY ALL) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM g WHERE score > 0 QUALIFY rank <= 10",
     "rotate_partition": "SELECT strftime(verified, '%Y-%m') AS month, count(*) AS sections, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT DISTINCT chunk_id, verified, text FROM chunks WHERE path = 'log.md' AND verified IS NOT NULL) WHERE verified < DATE '2026-09-29' - 365 GROUP BY 1",
-    "incremental_diff": "WITH " + _MANIFEST + """ SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.mtime = b.mtime AND a.size = b.size THEN 'unchanged' WHEN a.sha1 = b.sha1 THEN 'touched' ELSE 'updated' END AS status
-FROM (SELECT * FROM o WHERE size % 10 <> 0) a FULL JOIN (SELECT * FROM n WHERE size % 7 <> 0) b USING (path)""",
-    "index_version": "WITH " + _MANIFEST + " SELECT left(sha256(string_agg(path || sha1, '' ORDER BY path)), 12) AS version, count(*) AS files FROM n WHERE size % 7 <> 0",
-    "cosine_topk": "WITH " + _COS + " SELECT qid, rank, vec_id, round(score, 5) AS score FROM dr",
-    "rrf_fuse": "WITH " + _COS + " SELECT qid, vec_id, round(score, 6) AS score FROM fu",
-    "hybrid_rrf": "WITH " + _COS + """, h AS (SELECT qid, vec_id, score * (0.75 + 0.25 * pow(0.5, greatest(0, DATE '2026-09-29' - (DATE '2025-01-01' + CAST(vec_id % 700 AS INT))) / 180.0)) * CASE WHEN vec_id % 5 = 0 THEN 0.6 ELSE 1 END AS score FROM fu)
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) AS rank, vec_id, round(score, 6) AS score FROM h QUALIFY rank <= 5""",
+    "incremental_diff": "SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.mtime = b.mtime AND a.size = b.size THEN 'unchanged' WHEN a.sha1 = b.sha1 THEN 'touched' ELSE 'updated' END AS status FROM "
+    + _LAST.format(when="<") + " a FULL JOIN " + _LAST.format(when=">=") + " b USING (path)",
+    "index_version": "WITH " + _SCANS + ", h AS (SELECT count(*) AS files, coalesce(sum(CAST(CAST('0x' || left(sha256(path || '|' || coalesce(sha1_hex, '')), 15) AS BIGINT) AS HUGEINT)), 0) AS total FROM f) SELECT left(sha256(files || ':' || total), 12) AS version, files FROM h",
+    "cosine_topk": "WITH " + _COS + " SELECT qid, rank, vec_id, round(score, 5) AS score FROM dr WHERE rank <= 10",
 }
