@@ -40,6 +40,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p5_found": p5_found, "p5_ledger": p5_ledger, "p6_found": p6_found}
 
 ORACLE = {
+    # Every update in recorded order: it replaces its day's value, or splits the interval that covers its day.
+    "p5_ledger": """
+WITH e AS (SELECT DISTINCT fact_key AS k, entry_id AS seq, value, coalesce(valid_from, as_of) AS d, coalesce(epoch_us(recorded_at), -4611686018427387904) AS seen FROM entries
+  WHERE value IS NOT NULL AND trim(value) <> '' AND coalesce(valid_from, as_of) IS NOT NULL AND fact_key IS NOT NULL),
+f AS (SELECT k, d, seen, seq FROM e QUALIFY row_number() OVER (PARTITION BY k, d ORDER BY seen, seq) = 1),
+after_ AS (SELECT a.k, a.d, a.seen, a.seq, min(b.d) AS until FROM f a LEFT JOIN f b ON b.k = a.k AND b.d > a.d AND (b.seen, b.seq) < (a.seen, a.seq) GROUP BY ALL),
+split AS (SELECT b.k, max(a.d) AS d, b.seen, b.seq, b.d AS until FROM f b JOIN f a ON a.k = b.k AND a.d < b.d AND (a.seen, a.seq) < (b.seen, b.seq) GROUP BY b.k, b.seen, b.seq, b.d),
+ev AS (SELECT k, d, seen, seq, value, NULL::DATE AS until FROM e UNION ALL SELECT k, d, seen, seq, NULL, coalesce(until, DATE '9999-12-31') FROM after_ UNION ALL SELECT k, d, seen, seq, NULL, until FROM split),
+told AS (SELECT k, d, seen, last_value(value IGNORE NULLS) OVER o AS value, last_value(until IGNORE NULLS) OVER o AS until, lead(seen) OVER (PARTITION BY k, d ORDER BY seen, seq, value NULLS FIRST) AS replaced
+  FROM ev WINDOW o AS (PARTITION BY k, d ORDER BY seen, seq, value NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT k AS fact_key, value, strftime(d, '%Y-%m-%d') AS valid_from, CASE WHEN until = DATE '9999-12-31' THEN 'open' ELSE strftime(until, '%Y-%m-%d') END AS valid_to,
+  CASE WHEN seen > -4611686018427387904 THEN strftime(make_timestamp(seen), '%Y-%m-%d %H:%M:%S.%f') END AS recorded_from, coalesce(strftime(make_timestamp(replaced), '%Y-%m-%d %H:%M:%S.%f'), 'now') AS recorded_to
+FROM told WHERE replaced IS NULL OR replaced > seen""",
     "p5_found": r"""
 WITH r AS (SELECT fact_key, coalesce(valid_from, as_of) AS day, value, recorded_at, entry_id FROM entries
            WHERE coalesce(valid_from, as_of) IS NOT NULL AND value IS NOT NULL AND trim(value) <> ''),
