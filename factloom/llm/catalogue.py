@@ -17,6 +17,10 @@ from factloom.llm.survivors import surviving_records
 from factloom.session import load
 
 
+#: White space of any kind, written out so that both engines agree.
+BLANK = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(load(spark, sf_dir, "chunks"), load(spark, sf_dir, "name_parts"), id="chunk_id", text="text")
     return found.select("chunk_id", "pii_type", "pii_text").distinct()
@@ -40,6 +44,12 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).select("chunk_id", "piece_no", "piece_start", "piece_end", "overlap_chars", "piece_text", "cut_kind")
 
 
+def p2_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each chunk hold without their overlaps and without white space, and that none is too long."""
+    own = F.regexp_replace(F.substring("piece_text", F.col("overlap_chars") + 1, F.length("piece_text")), BLANK, "")
+    return _pieces(spark, sf_dir).groupBy("chunk_id").agg(F.sum(F.length(own)).alias("signs"), F.count_if(F.length("piece_text") > 1500).alias("too_long"))
+
+
 def _survivors(spark: SparkSession, sf_dir: str, undated: str) -> DataFrame:
     found = surviving_records(
         load(spark, sf_dir, "conflicts"), id="conflict_id", key="fact_key", winner="winner", values="value_map", resolved="resolved", authority="authority", reported_at="reported_at", undated=undated
@@ -82,6 +92,24 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir)
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placed documents, containers over their capacity, and documents in several containers that would fit into one."""
+    placed = _packed(spark, sf_dir)
+    full = placed.groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.count_if(F.col("n") > 2048).alias("overfull"))
+    docs = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts")).agg(F.count("*").alias("documents"), F.count_if((F.col("n") <= 2048) & (F.col("parts") > 1)).alias("torn"))
+    return docs.crossJoin(F.broadcast(full))
+
+
+def p8_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each target its documents, those taken too often, and whether the reported shares agree with the mixture."""
+    mixture, report = _mixed(spark, sf_dir)
+    made = mixture.groupBy("source").agg(F.max("copies").alias("most"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
+    whole = made.agg(F.sum("tokens").alias("whole"))
+    rows = report.join(made, "source", "left").crossJoin(F.broadcast(whole))
+    agree = F.abs(F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)) - F.col("actual_share")) < 1e-9
+    return rows.select("source", "n_documents", (F.coalesce("most", F.lit(0)) > F.col("max_repeats")).cast("int").alias("too_often"), agree.cast("int").alias("agrees"))
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mix_sources(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), id="doc_id", text="text", source="source")
 
@@ -154,9 +182,13 @@ z AS (SELECT grp, resolved FROM f WHERE resolved IS NOT NULL QUALIFY row_number(
 v AS (SELECT f.grp, value_map[w.winner] AS winner_value FROM f JOIN w USING (grp) WHERE value_map[w.winner] IS NOT NULL AND lower(trim(value_map[w.winner])) NOT IN {PLACEHOLDERS}
   QUALIFY row_number() OVER (PARTITION BY f.grp ORDER BY f.rank DESC, f.at_ DESC NULLS LAST, f.late DESC, f.fresh DESC, f.id DESC) = 1)
 SELECT group_id, winner, winner_value, CAST(resolved AS INT) AS resolved FROM g LEFT JOIN w USING (grp) LEFT JOIN z USING (grp) LEFT JOIN v USING (grp)""",
+    "p2_tiles": rf"SELECT chunk_id, CAST(sum(length(regexp_replace(text, '{BLANK}', '', 'g'))) AS BIGINT) AS signs, 0 AS too_long FROM (SELECT DISTINCT chunk_id, path, start_line, text FROM chunks WHERE text IS NOT NULL) GROUP BY chunk_id",
+    "p7_fill": "SELECT count(DISTINCT doc_id) AS documents, 0 AS torn, 0 AS overfull FROM documents WHERE text IS NOT NULL AND text <> '' AND doc_id IS NOT NULL",
+    "p8_bounds": r"""SELECT m.source, count(DISTINCT CASE WHEN text <> '' THEN (doc_id, text) END) AS n_documents, 0 AS too_often, 1 AS agrees FROM mix_targets m
+LEFT JOIN documents d ON regexp_replace(lower(d.source), '[^\p{L}\p{N}]+', '', 'g') = regexp_replace(lower(m.source), '[^\p{L}\p{N}]+', '', 'g') GROUP BY m.source""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_pieces, p3_found, p3_currency, p4_found, p4_clean, p7_found, p7_containers, p8_found, p8_mixture, p8_report, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_pieces, p2_tiles, p3_found, p3_currency, p4_found, p4_clean, p7_found, p7_containers, p7_fill, p8_found, p8_mixture, p8_report, p8_bounds, p9_found, p9_composition)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
