@@ -30,7 +30,8 @@ def _combining() -> str:
     marks = [c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
     edges = [(a, b) for a, b in zip([None, *marks], [*marks, None]) if a is None or b is None or b > a + 1]
     spans = zip([b for _, b in edges[:-1]], [a for a, _ in edges[1:]])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans) + "]+"
+    # Most characters are no marks at all, which is quicker to see.
+    return r"(?:(?=[\p{M}\p{Cn}])[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans) + "])+"
 
 
 COMBINING = _combining()
@@ -43,7 +44,7 @@ def normalized(col: Column) -> Column:
 
 def words_of(norm: Column) -> Column:
     """Words of a normalized text: letters and digits with one inner apostrophe; a closing 's and apostrophes are dropped."""
-    bare = F.transform(F.regexp_extract_all(norm, F.lit(WORD), F.lit(0)), lambda w: F.regexp_replace(F.regexp_replace(w, "['’]s$", ""), "['’]", ""))
+    bare = F.transform(F.regexp_extract_all(norm, F.lit(WORD), F.lit(0)), lambda w: F.when(w.contains("'") | w.contains("’"), F.regexp_replace(F.regexp_replace(w, "['’]s$", ""), "['’]", "")).otherwise(w))
     return F.filter(bare, lambda w: w != "")
 
 

@@ -179,6 +179,14 @@ def bm25_topk(spark, sf_dir):
     return retrieval.top_k(_scores(spark, sf_dir), 5).select("qid", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+def bm25_many(spark, sf_dir):
+    """The five best documents for the entity and title of every document. Questions of the same words are scored once."""
+    named = with_tokens(load(spark, sf_dir, "documents").withColumn("name", F.concat_ws(" ", "entity", "title")), "name", "terms").select("doc_id", F.array_sort(F.array_distinct("terms")).alias("terms")).filter(F.size("terms") > 0)
+    asked = named.withColumn("qid", F.array_join("terms", " "))
+    best = retrieval.top_k(retrieval.bm25(tokens(spark, sf_dir), asked.select("qid", "terms").distinct()), 5)
+    return asked.select(F.col("doc_id").alias("asker"), "qid").join(best, "qid").select("asker", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def bm25_stemmed(spark, sf_dir):
     post = tokens_stemmed(spark, sf_dir)
     flat = post.groupBy("chunk_id").agg(F.flatten(F.collect_list(F.expr("array_repeat(term, cast(tf as int))"))).alias("tokens"))
@@ -235,7 +243,7 @@ def cosine_topk(spark, sf_dir):
 
 
 _NAMES = """normalize_text words word_count stopword_filter tokens_raw tokens_stemmed stem_vocab doc_lines paragraph_chunks phrase_contains volatile_detect file_sha1 oversize_skip
-mtime_date effective_date freshness_age freshness_status must_reverify decay chunk_doc_join stale_list term_freq doc_freq corpus_stats bm25_idf bm25_topk bm25_stemmed
+mtime_date effective_date freshness_age freshness_status must_reverify decay chunk_doc_join stale_list term_freq doc_freq corpus_stats bm25_idf bm25_topk bm25_many bm25_stemmed
 grep_score rotate_partition incremental_diff index_version cosine_topk""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -243,6 +251,7 @@ _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in __import__("factloom
 _WORDS = r"""
 w AS (SELECT doc_id, text, list_filter(list_transform(regexp_extract_all(replace(replace(strip_accents(lower(nfc_normalize(coalesce(text, '')))), 'ß', 'ss'), 'ς', 'σ'), '[\p{L}\p{N}]+(?:[''’][\p{L}\p{N}]+)?'),
   lambda x: regexp_replace(regexp_replace(x, '[''’]s$', ''), '[''’]', '', 'g')), lambda x: x <> '') AS words FROM documents)"""
+_NAMES_OF = _WORDS.split("SELECT doc_id, text, ")[1].split(" AS words FROM")[0].replace("coalesce(text, '')", "concat_ws(' ', entity, title)")
 _TOKENS = _WORDS + f", t AS (SELECT doc_id, list_filter(words, lambda x: x NOT IN ({_STOP})) AS tokens FROM w)"
 _POST = _TOKENS + ", l AS (SELECT doc_id, len(tokens) AS dl FROM t), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM t) GROUP BY ALL), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l)"
 _ASKED = "q AS (SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{t}')" for q, x in QUESTIONS for t in dict.fromkeys(x.lower().replace("ü", "u").split()) if t not in ("the", "of", "and", "in")) + ") v(qid, term))"
@@ -293,6 +302,9 @@ SELECT doc_id, min(n) AS first, max(n) AS last, CAST(sum(length(line)) AS BIGINT
     "corpus_stats": "WITH" + _POST + " SELECT n, round(avgdl, 6) AS avgdl FROM s",
     "bm25_idf": "WITH" + _POST + " SELECT term, round(ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM p, s GROUP BY term, n",
     "bm25_topk": "WITH" + _BM25 + " SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM b QUALIFY rank <= 5",
+    "bm25_many": "WITH" + _POST + ", nm AS (SELECT doc_id AS asker, unnest(list_distinct(list_filter(" + _NAMES_OF + ", lambda x: x NOT IN (" + _STOP + ")))) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM nm) GROUP BY term), "
+    "b AS (SELECT asker, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM nm JOIN p USING (term) JOIN d USING (term) JOIN l USING (doc_id), s GROUP BY ALL) "
+    "SELECT asker, row_number() OVER (PARTITION BY asker ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM b QUALIFY rank <= 5",
     "grep_score": "WITH " + _ASKED + ", g AS (SELECT qid, doc_id, CAST(sum(CAST(contains(lower(text), term) AS INT)) AS INT) AS score FROM documents, q GROUP BY ALL) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM g WHERE score > 0 QUALIFY rank <= 10",
     "rotate_partition": "SELECT strftime(verified, '%Y-%m') AS month, count(*) AS sections, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT DISTINCT chunk_id, verified, text FROM chunks WHERE path = 'log.md' AND verified IS NOT NULL) WHERE verified < DATE '2026-09-29' - 365 GROUP BY 1",
     "incremental_diff": "SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.mtime = b.mtime AND a.size = b.size THEN 'unchanged' WHEN a.sha1 = b.sha1 THEN 'touched' ELSE 'updated' END AS status FROM "
