@@ -293,6 +293,7 @@ MOST_WORDS = 1_000_000
 def word_evidence(known: dict[str, set[str]]):
     """Counts of words by case, and of capitalised words beside known parts of names: (word, kind, partner, n)."""
     given, family = known["given"], known["family"]
+    small = {w for part in known.values() for w in part}
     spelled = {f(w) for part in known.values() for w in part for f in (str.upper, str.title, str.capitalize, _titled)}
 
     def beside(plain: str, seen: Counter) -> None:
@@ -333,6 +334,10 @@ def word_evidence(known: dict[str, set[str]]):
                 if "@" in plain:  # mail addresses and handles are no uses of a word
                     for handle in _HANDLE.findall(plain):
                         uses.subtract(_WORD.findall(handle))
+                for k in [k for k, w in enumerate(words[:-1]) if w in small]:  # a name in lower case is no everyday use of its parts
+                    if (other := words[k + 1]) in small and (words[k] in given) != (other in given):
+                        seen[words[k], "lower", ""] -= 1
+                        seen[other, "lower", ""] -= 1
                 if not spelled.isdisjoint(words):
                     beside(plain, seen)
             if len(uses) > MOST_WORDS:

@@ -56,6 +56,8 @@ def test_offsets_map_back():
 
 def test_names_redaction_and_dirt(spark):
     learn = [(100 + i, f"Ask {g} Quennell for the keys.") for i, g in enumerate(["Maelin", "Torvald", "May"])] + [(110 + i, f"Met Corvin {f} today.") for i, f in enumerate(["Velquist", "Tarnow", "Field"])]
+    # Counts tell that may and field are everyday words.
+    learn += [(120, "We may go to the field, or may not."), (121, "It may rain on the field.")]
     rows = [
         (1, "Met Dr. CORVIN QUENNELL and Velquist, Maelin."), (2, "Agreed with Torvald\nCalloway-Reth on it; T. Müllendorf too."), (3, "Asked Maelin about it. Velquist Bakery sent 3 boxes. It may field a team."),
         (4, None), (5, ""), (6, "corvin h. quennell, a@b.example"), (6, "corvin h. quennell, a@b.example"), *learn, (7, "word " * 20000 + "Maelin Tarnow"),
@@ -79,3 +81,24 @@ def test_bloom_has_no_false_negatives(spark):
     bloom = bloom_of(spark.createDataFrame([(w,) for w in words], "word string"))
     assert all(bloom_has(bloom, w) for w in words)
     assert sum(bloom_has(bloom, f"v{i}") for i in range(2000)) < 20
+
+
+def test_everyday_words_by_their_counts(spark):
+    rows = [(i, t) for i, t in enumerate(["Ask Rose Field today.", "A rose in the field.", "The field of one rose, the rose field.", "may field", "met torvald velquist", "Spoke with Maelin Ostrander.", "Maelin Ostrander again."])]
+    df = spark.createDataFrame(rows, "chunk_id long, text string")
+    parts = spark.createDataFrame([*PARTS, ("Rose", "given")], "name_part string, part_kind string")
+    got = {(r[0], r.pii_text) for r in find_pii(df, parts, id="chunk_id", text="text").collect()}
+    # "rose field" and "may field" are everyday words in lower case; a partner of one known part alone is learned where it has no other use
+    assert got == {(0, "Rose Field"), (3, "may field"), (4, "torvald velquist"), (5, "Maelin Ostrander"), (6, "Maelin Ostrander")}
+
+
+def test_clauses_tell_what_a_number_is():
+    assert found("The invoice was paid last month after long talks about the weather; passport no. QZ3008381 is on file") == [("id_number", "QZ3008381")]
+    assert found("Passport office sent a very long letter about many other things, see invoice 356-61-4953 in it.") == []
+
+
+def test_too_many_parts(spark):
+    from factloom.llm.pii import name_lexicon
+
+    with pytest.raises(ValueError):
+        name_lexicon(spark.createDataFrame([("x",)], "text string"), spark.createDataFrame(PARTS, "name_part string, part_kind string"), most_parts=3)
