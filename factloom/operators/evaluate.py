@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -21,6 +22,18 @@ def retrieval_metrics(ranked: DataFrame, by: str) -> DataFrame:
     return rows.withColumn(by, F.coalesce(by, F.lit("all")))
 
 
+def flag_metrics(shown: DataFrame, by: str) -> DataFrame:
+    """(<by>, n, false_fresh, over_flag): how often the first hit should carry a warning and has none, and the other way round.
+
+    ``shown``: due (whether what is asked for must be checked again), flagged (whether the first hit says so; null: no hit).
+    """
+    flagged = F.coalesce("flagged", F.lit(False))
+    rows = shown.groupingSets([[F.col(by)], []], F.col(by)).agg(
+        F.count("*").alias("n"), _rate(F.when(F.col("due"), ~flagged)).alias("false_fresh"), _rate(F.when(~F.col("due"), flagged)).alias("over_flag")
+    )
+    return rows.withColumn(by, F.coalesce(by, F.lit("all")))
+
+
 def latency(runs: DataFrame, by: str) -> DataFrame:
     """(<by>, p50, p95, p99) of a column ms: the median, and the elements at 95 and 99 percent of the sorted list.
 
@@ -49,10 +62,48 @@ def graded(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("outcome", out)
 
 
+def answered(answers: DataFrame) -> DataFrame:
+    """answers (said, want, old array of texts) with the outcome of each, judged by the words of what was said.
+
+    no_answer: nothing was said; correct: the wanted value is in it; stale: a former value is, and not the wanted one;
+    wrong: neither. A value is in a text when its words follow each other there.
+    """
+    rows = answers.withColumn("_said", spoken(F.col("said"))).withColumn("_want", spoken(F.col("want"))).withColumn("_old", F.transform(F.coalesce("old", F.array().cast("array<string>")), spoken))
+    there = lambda value: (F.trim(value) != "") & F.col("_said").contains(value)
+    out = F.when(F.trim("_said") == "", "no_answer").when(there(F.col("_want")), "correct").when(F.exists("_old", there), "stale").otherwise("wrong")
+    return rows.withColumn("outcome", out).drop("_said", "_want", "_old")
+
+
+def spoken(text: Column) -> Column:
+    """The words of a text between single blanks, so that containment goes by whole words."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
+SALTS = 64
+
+
+def heldout(cases: DataFrame, id: str, category: str, share: float = 0.3) -> DataFrame:
+    """cases with split: a rounded ``share`` of each category, by hash, is heldout, the others are dev.
+
+    Places within a category follow from counts of salted parts, so that no task holds a whole category.
+    """
+    salted = cases.withColumn("_hash", F.xxhash64(id)).withColumn("_salt", F.shiftrightunsigned(F.col("_hash"), 58).cast("int"))
+    parts = salted.groupBy(category, "_salt").agg(F.count("*").alias("_n"))
+    w = W.partitionBy(category)
+    parts = parts.select(F.col(category).alias("_c"), F.col("_salt").alias("_s"), (F.sum("_n").over(w.orderBy("_salt").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_off"), F.sum("_n").over(w).alias("_all"))
+    joined = salted.join(parts, F.col(category).eqNullSafe(F.col("_c")) & (F.col("_salt") == F.col("_s")))
+    place = F.col("_off") + F.row_number().over(W.partitionBy(category, "_salt").orderBy("_hash", id))
+    return joined.withColumn("split", F.when(place <= F.round(F.col("_all") * share), "heldout").otherwise("dev")).select(*cases.columns, "split")
+
+
 def summary(cases: DataFrame) -> DataFrame:
-    """(split, category, n, accuracy, stale_rate) by split and by category within it."""
-    split, category = F.col("split"), F.col("category")
-    rows = cases.groupingSets([[split, category], [split]], split, category).agg(
-        F.count("*").alias("n"), _rate(F.col("outcome") == "correct").alias("accuracy"), _rate(F.col("outcome") == "stale").alias("stale_rate")
-    )
+    """(split, category, n, accuracy, stale_rate) by split and by category within it.
+
+    With columns as_of (the day asked for, null: now) and cited (whether the answer says where it is from), also
+    current_accuracy, as_of_accuracy and provenance.
+    """
+    split, category, right = F.col("split"), F.col("category"), F.col("outcome") == "correct"
+    more = [_rate(F.when(F.col("as_of").isNull(), right)).alias("current_accuracy"), _rate(F.when(F.col("as_of").isNotNull(), right)).alias("as_of_accuracy")] if "as_of" in cases.columns else []
+    more += [_rate(F.coalesce("cited", F.lit(False))).alias("provenance")] if "cited" in cases.columns else []
+    rows = cases.groupingSets([[split, category], [split]], split, category).agg(F.count("*").alias("n"), _rate(right).alias("accuracy"), _rate(F.col("outcome") == "stale").alias("stale_rate"), *more)
     return rows.withColumn("category", F.coalesce("category", F.lit("all")))
