@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -144,52 +146,59 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.filter(F.zip_with(a, b, lambda x, y: x * y), lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x)
 
 
-def _nearest(query_ids: list, matrix, k: int):
-    import numpy as np
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m = np.array([np.asarray(v, dtype=float)[: matrix.shape[1]] for v in pdf["vec"]])
-            norm = np.linalg.norm(np.array([np.asarray(v, dtype=float) for v in pdf["vec"]]), axis=1)
-            m = m / np.where(norm == 0, 1, norm)[:, None]
-            sims = m @ matrix[:, : m.shape[1]].T
-            rows = pd.DataFrame({"qid": np.repeat(query_ids, len(pdf)), "chunk_id": np.tile(pdf["id"].to_numpy(), len(query_ids)), "score": sims.T.ravel()})
-            best = rows if best is None else pd.concat([best, rows])
-            best = best.sort_values(["qid", "score", "chunk_id"], ascending=[True, False, True]).groupby("qid").head(k)
-        if best is not None:
-            yield best
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch of (id, vec) as one row: ids, all numbers, and where each vector begins."""
+    for batch in batches:
+        vecs = batch.column(1)
+        starts = np.append(0, np.cumsum(vecs.value_lengths().to_numpy(zero_copy_only=False)))
+        one = lambda values, kind: pa.array([values], pa.list_(kind))
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([one(batch.column(0).to_pylist(), pa.int64()), one(vecs.flatten().to_numpy(zero_copy_only=False), pa.float64()), one(starts, pa.int64())], ["ids", "flat", "starts"])
+
+
+def _units(flat: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Vectors as rows of length one, short ones filled up with zeros; the zero vector stays."""
+    sizes = np.diff(starts)
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width) < sizes[:, None]] = flat
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm == 0, 1, norm)
+
+
+def _nearest(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            for i in range(batch.num_rows):
+                r = {n: c[i].values.to_pylist() if n == "qids" else c[i].values.to_numpy(zero_copy_only=False) for n, c in zip(names, batch.columns)}
+                width = int(max(np.diff(r["starts"]).max(), np.diff(r["asked_starts"]).max()))
+                sims = _units(r["asked_flat"], r["asked_starts"], width) @ _units(r["flat"], r["starts"], width).T
+                ids = r["ids"]
+                order = np.argsort(ids, kind="stable")  # among equal scores the smaller ids come first
+                ids, sims = ids[order], sims[:, order]
+                best = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, :k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.asarray(r["qids"], object), best.shape[1]), pa.string()), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(sims, best, 1).ravel())], ["qid", "chunk_id", "score"]
+                )
 
     return run
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id: str, vec: str, block: int = 1000) -> DataFrame:
-    """(qid, chunk_id, score, rank): the k nearest vectors of each stated query, by blocks of queries against all rows.
+    """(qid, chunk_id, score, rank): the k nearest vectors of each stated query, blocks of queries against blocks of rows.
 
-    Query vectors are taken ``block`` at a time, so what is sent to the tasks is bounded; every task keeps k rows for
-    each query. ``queries``: qid string, vec.
+    One plan for any number of queries, which never pass through the driver: rows are packed where they are read, queries
+    into blocks of about ``block`` by hash, and every pair of blocks gives k rows a query. Null vectors take no part.
+    ``queries``: qid string, vec.
     """
-    import numpy as np
-
-    asked = queries.select("qid", unit(F.col("vec")).alias("vec")).filter("vec is not null").orderBy("qid").toLocalIterator()
-    out, at = None, []
-
-    def part(rows):
-        ids, width = [r["qid"] for r in rows], max(len(r["vec"]) for r in rows)
-        matrix = np.array([list(r["vec"]) + [0.0] * (width - len(r["vec"])) for r in rows])
-        return vectors.select(F.col(id).cast("bigint").alias("id"), F.col(vec).alias("vec")).filter("vec is not null").mapInPandas(_nearest(ids, matrix, k), "qid string, chunk_id bigint, score double")
-
-    for r in asked:
-        at.append(r)
-        if len(at) == block:
-            out, at = part(at) if out is None else out.unionByName(part(at)), []
-    if at:
-        out = part(at) if out is None else out.unionByName(part(at))
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "qid string, chunk_id bigint, score double, rank int")
-    return top_k(out, k)
+    asked = queries.select("qid", F.col("vec").cast("array<double>").alias("vec")).filter("vec is not null and qid is not null")
+    blocks = -(-asked.count() // block) or 1
+    lists = asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("qid", "vec")).alias("q"))
+    starts = F.aggregate("q", F.array(F.lit(0).cast("bigint")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.size(x["vec"]))))
+    lists = lists.select(F.transform("q", lambda x: x["qid"]).alias("qids"), F.flatten(F.transform("q", lambda x: x["vec"])).alias("asked_flat"), starts.alias("asked_starts"))
+    rows = vectors.select(F.col(id).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec")).filter("vec is not null and id is not null")
+    packs = rows.mapInArrow(_packed, "ids array<bigint>, flat array<double>, starts array<bigint>")
+    return top_k(packs.crossJoin(lists).mapInArrow(_nearest(k), "qid string, chunk_id bigint, score double"), k)
 
 
 def fuse(rankings: list[DataFrame], k: int = 60) -> DataFrame:
