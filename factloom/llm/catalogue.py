@@ -14,7 +14,7 @@ from factloom.llm.pii import find_pii, redact
 from factloom.llm.splitting import split_oversized
 from factloom.llm.subjects import assign_subjects
 from factloom.llm.survivors import surviving_records
-from factloom.session import load
+from factloom.session import load, spread
 
 
 #: White space of any kind, written out so that both engines agree.
@@ -32,8 +32,9 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = load(spark, sf_dir, "chunks").select("chunk_id", "path", "start_line", "text").distinct()
-    return split_oversized(chunks, text="text", start_line="start_line")
+    """The pieces of every delivered chunk; those of a chunk delivered twice occur twice."""
+    chunks = load(spark, sf_dir, "chunks").select("chunk_id", "path", "start_line", "text")
+    return split_oversized(spread(chunks, "chunk_id"), text="text", start_line="start_line")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +42,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pieces(spark, sf_dir).select("chunk_id", "piece_no", "piece_start", "piece_end", "overlap_chars", "piece_text", "cut_kind")
+    return _pieces(spark, sf_dir).select("chunk_id", "piece_no", "piece_start", "piece_end", "overlap_chars", "piece_text", "cut_kind").distinct()
 
 
 def p2_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the pieces of each chunk hold without their overlaps and without white space, and that none is too long."""
     own = F.regexp_replace(F.substring("piece_text", F.col("overlap_chars") + 1, F.length("piece_text")), BLANK, "")
-    return _pieces(spark, sf_dir).groupBy("chunk_id").agg(F.sum(F.length(own)).alias("signs"), F.count_if(F.length("piece_text") > 1500).alias("too_long"))
+    pieces = _pieces(spark, sf_dir).select("chunk_id", "path", "start_line", "piece_no", F.xxhash64("piece_text").alias("same"), F.length(own).alias("signs"), F.length("piece_text").alias("n")).distinct()
+    return pieces.groupBy("chunk_id").agg(F.sum("signs").alias("signs"), F.count_if(F.col("n") > 1500).alias("too_long"))
 
 
 def _survivors(spark: SparkSession, sf_dir: str, undated: str) -> DataFrame:
