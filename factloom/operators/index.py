@@ -53,6 +53,12 @@ def checksum(df: DataFrame) -> tuple[int, int]:
     return r["n"], int(r["h"] or 0)
 
 
+def misaligned(chunks: DataFrame, postings: DataFrame) -> DataFrame:
+    """(chunk_id, missing): chunks without postings, and postings without a chunk; none in a sound index."""
+    a, b = chunks.select("chunk_id", F.lit(True).alias("c")), postings.select("chunk_id", F.lit(True).alias("p"))
+    return a.join(b, "chunk_id", "full").filter("c is null or p is null").select("chunk_id", F.when(F.col("c").isNull(), "chunk").otherwise("postings").alias("missing"))
+
+
 class Folder:
     """A folder on any file system that Spark writes to."""
 

@@ -21,6 +21,24 @@ STATE = "key string, best struct<day:date,r:int,chunk_id:bigint,ord:bigint,value
 MOST_LAYERS = 20
 
 
+def log_entries(pages: DataFrame) -> DataFrame:
+    """(path, day, entry) of log pages (path, text), in batch or stream: one row for each item below a heading of a day.
+
+    Lines below an item that are indented belong to it; what stands before the first day has none.
+    """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n|\r", "\n")
+    parts = F.split(text, r"\n(?=## \d{4}-\d{2}-\d{2}\b)|\A(?=## \d{4}-\d{2}-\d{2}\b)", -1)
+    sections = pages.select("path", F.explode(parts).alias("section")).withColumn("day", F.try_to_date(F.nullif(F.regexp_extract("section", r"\A## (\d{4}-\d{2}-\d{2})\b", 1), F.lit("")), "yyyy-MM-dd"))
+    items = sections.select("path", "day", F.explode(F.regexp_extract_all("section", F.lit(r"(?m)^- (.*(?:\n(?:  .*|[ \t]*(?=\n  )))*)"), F.lit(1))).alias("entry"))
+    return items.withColumn("entry", F.trim(F.regexp_replace("entry", r"(?m)^  ", "")))
+
+
+def log_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the entries of log pages that come into a folder; each page is read once, whole."""
+    pages = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").load(folder)
+    return log_entries(pages.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+
+
 def newest(assertions: DataFrame) -> DataFrame:
     """(key, best): the winning assertion of each key, newest start first, then authority, then chunk."""
     until = F.col("valid_until") if "valid_until" in assertions.columns else F.lit(None).cast("date")

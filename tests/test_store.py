@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from factloom import api, cli, server
+from factloom import api, cli, demo, server
 from factloom.operators import index
 from factloom.sources import notes as source
 from factloom.streaming import current
@@ -112,3 +112,30 @@ def test_index_kept_by_a_stream(spark, tmp_path):
     tables = index.open_index(spark, f"{tmp_path}/ix")
     assert {r.path for r in tables["files"].collect()} == {"orion.md", "2026-08-14.md"} == {r.path for r in tables["chunks"].collect()}
     assert [(r.chunk_id, r.value) for r in tables["assertions"].orderBy("chunk_id").collect()] == [(0, "sam okafor"), (1, "dana whitfield"), (2, "priya")]
+
+
+def test_log_entries_in_batch_and_stream(spark, tmp_path):
+    text = "# Log\n\n- before any day\n\n## 2026-03-01\n\n- first\n\n  more\n- second\n\n## 2026-13-40\n- no such day\n"
+    want = {(None, "before any day"), ("2026-03-01", "first\n\nmore"), ("2026-03-01", "second"), (None, "no such day")}
+    show = lambda rows: {(str(r.day) if r.day else None, r.entry) for r in rows}
+    assert show(current.log_entries(spark.createDataFrame([("log.md", text), ("x.md", None)], "path string, text string")).collect()) == want
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "log.md").write_text(text)
+    rows = current.log_stream(spark, f"file://{tmp_path}/in")
+    rows.writeStream.format("memory").queryName("log_rows").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert show(spark.table("log_rows").collect()) == want
+
+
+def test_visitors(spark, store):
+    assert demo.checked(["a"], " b ") == ["a", "b"]
+    for notes, new in (([], " "), ([], "x" * 401), (["n"] * 20, "x")):
+        with pytest.raises(ValueError):
+            demo.checked(notes, new)
+    assert demo.html_row({"cite": "a.md:1", "status": "FRESH", "age": 3, "text": "<b>&"}) == "<tr><td>a.md:1</td><td>FRESH</td><td>3 d</td><td>&lt;b&gt;&amp;</td></tr>"
+    report, chunks = store.conflicts(), store.tables["chunks"]
+    assert demo.visitor_conflicts(report, chunks, "orion").count() == 1 and demo.visitor_conflicts(report, chunks, "late").count() == 0
+
+
+def test_every_chunk_has_postings(store):
+    assert index.misaligned(store.tables["chunks"], store.tables["postings"]).collect() == []
+    assert {r.missing for r in index.misaligned(store.tables["chunks"], store.tables["postings"].limit(1)).collect()} == {"postings"}
