@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,6 +73,143 @@ def bm25_of(index: DataFrame, queries: DataFrame, id: str = "chunk_id") -> DataF
     return scored.join(wanted, "term").groupBy("qid", id).agg(F.sum("w").alias("score"))
 
 
+#: Postings at which a block of documents ends, rows of one sorted step, and the part of a block, if not fewer than so many texts, that makes a term common.
+BLOCK, STEP, COMMON, LEAST = 4_000_000, 2_000_000, 128, 16
+
+
+def _posting_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, dl, terms) as rows: ids in order, their dl, the words, and for each word in turn its documents' places and tf."""
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32())
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        ids, dl = table.column(0).to_numpy(), table.column(1).to_numpy()
+        lists = table.column(2).combine_chunks()
+        sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
+        coded = flat.field("term").dictionary_encode()
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), np.int32)
+        place[order] = np.arange(len(ids), dtype=np.int32)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        by_word = np.argsort(codes, kind="stable")
+        starts = np.append(0, np.cumsum(np.bincount(codes, minlength=len(coded.dictionary))))
+        values = (ids[order], dl[order], coded.dictionary, starts, np.repeat(place, sizes)[by_word], flat.field("tf").to_numpy(zero_copy_only=False)[by_word])
+        columns = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v, kind)) for v, kind in zip(values, kinds)]
+        return pa.RecordBatch.from_arrays(columns, ["ids", "dls", "words", "starts", "places", "tfs"])
+
+    parts, held = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            parts, held = [*parts, batch], held + len(batch.column(2).flatten())
+        if held >= BLOCK:
+            yield block(parts)
+            parts, held = [], 0
+    if parts:
+        yield block(parts)
+
+
+def _first(values: np.ndarray, k: int) -> np.ndarray:
+    """Where the k largest are, largest first, the earlier of equal ones first."""
+    if len(values) > k:
+        among = np.flatnonzero(values >= np.partition(values, len(values) - k)[len(values) - k])
+        return among[np.argsort(-values[among], kind="stable")[:k]]
+    return np.argsort(-values, kind="stable")
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each of several spans, one span after another."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _best_in_block(r: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question's place, document's id, score) of the k best documents of a block for each of a block of questions.
+
+    Questions that have the same common terms share the scores of these, of which the k best documents will do: whatever
+    comes after them is beaten unless it has a rare term, and documents with one are scored all.
+    """
+    n_docs, dl = len(r["ids"]), r["dls"]
+    vocabulary = r["asked"].dictionary_encode()
+    at = pa.compute.index_in(vocabulary.dictionary, r["words"]).to_numpy(zero_copy_only=False)
+    there = ~np.isnan(at)
+    at = np.where(there, at, 0).astype(np.int64)
+    begin, size = np.where(there, r["starts"][at], 0), np.where(there, np.diff(r["starts"])[at], 0)
+    weight = r["tfs"] * (K1 + 1) / (r["tfs"] + K1 * (1 - B + B * dl[r["places"]] / r["avgdl"]))
+    term, of = vocabulary.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(r["lengths"])), r["lengths"])
+    idf_of = np.zeros(len(size))
+    idf_of[term] = r["idfs"]
+    term, of = term[size[term] > 0], of[size[term] > 0]
+    common = size[term] > max(n_docs // COMMON, LEAST)
+    order = np.lexsort((term[common], of[common]))
+    shared: dict[bytes, list[int]] = {}
+    owners, first = np.unique(of[common][order], return_index=True)
+    ends, of_common = np.append(first, len(order))[1:], term[common][order]
+    for q, a, b in zip(owners.tolist(), first.tolist(), ends.tolist()):
+        shared.setdefault(of_common[a:b].tobytes(), []).append(q)
+    rare_of, rare = of[~common], term[~common]  # in order of questions
+    shared[b""] = np.setdiff1d(np.unique(rare_of), owners).tolist()
+    bounds = np.searchsorted(rare_of, np.arange(len(r["lengths"]) + 1))
+    weights_until = np.append(0, np.cumsum(size[rare]))
+    found = [(np.array([], np.int64), np.array([], np.int64), np.array([]))]
+    for key, group in shared.items():
+        score, top = np.zeros(n_docs), np.array([], np.int64)
+        for t in np.frombuffer(key, np.int64):
+            span = slice(begin[t], begin[t] + size[t])
+            score[r["places"][span]] += weight[span] * idf_of[t]
+        if key:
+            hit = np.flatnonzero(score)
+            top = hit[_first(np.round(score[hit], 9), k)]
+        qs = np.array(group, np.int64)
+        rows = weights_until[bounds[qs + 1]] - weights_until[bounds[qs]] + len(top)
+        for step in np.split(np.arange(len(qs)), np.flatnonzero(np.diff(np.cumsum(rows) // STEP)) + 1):
+            mine = qs[step]
+            n_rare = bounds[mine + 1] - bounds[mine]
+            entries = _spans(bounds[mine], n_rare)
+            t, sizes = rare[entries], size[rare[entries]]
+            posting = _spans(begin[t], sizes)
+            asker = np.append(np.repeat(np.repeat(np.arange(len(mine)), n_rare), sizes), np.repeat(np.arange(len(mine)), len(top)))
+            doc = np.append(r["places"][posting], np.tile(top, len(mine))).astype(np.int64)
+            part = np.append(weight[posting] * np.repeat(idf_of[t], sizes), np.zeros(len(mine) * len(top)))
+            pair, which = np.unique(asker * n_docs + doc, return_inverse=True)
+            asker, doc = np.divmod(pair, n_docs)
+            total = np.bincount(which, part, len(pair)) + score[doc]
+            ranked = np.lexsort((doc, -np.round(total, 9), asker))
+            asker = asker[ranked]
+            keep = ranked[np.arange(len(asker)) - np.searchsorted(asker, asker) < k]
+            found.append((mine[pair[keep] // n_docs], r["ids"][doc[keep]], total[keep]))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _best_of_blocks(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                values = {n: c[i].values for n, c in zip(batch.schema.names, batch.columns) if pa.types.is_list(c.type)}
+                r = {n: v if pa.types.is_string(v.type) else v.to_numpy(zero_copy_only=False) for n, v in values.items()} | {"avgdl": batch.column("avgdl")[i].as_py()}
+                asker, ids, scores = _best_in_block(r, k)
+                yield pa.RecordBatch.from_arrays([r["qids"].take(pa.array(asker)), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["qid", "chunk_id", "score"])
+
+    return run
+
+
+def bm25_best(index: DataFrame, queries: DataFrame, k: int, id: str = "chunk_id", block: int = 250_000) -> DataFrame:
+    """(qid, chunk_id, score, rank): the first k of bm25_of for each query, for tables of very many queries.
+
+    Blocks of queries meet blocks of the index, and each pair gives k rows a query, so that what is moved grows with the
+    queries and not with the pairs of query and text. ``queries``: qid string, terms array.
+    """
+    wanted = queries.select(F.col("qid").cast("string").alias("qid"), F.explode(F.array_distinct("terms")).alias("term")).filter("qid is not null")
+    stats = index.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    df = index.select(F.inline("terms")).groupBy("term").agg(F.count("*").alias("df"))
+    asked = wanted.join(df, "term").crossJoin(F.broadcast(stats)).filter("avgdl > 0").groupBy("qid", "avgdl").agg(F.collect_list(F.struct("term", idf(F.col("n"), F.col("df")).alias("idf"))).alias("t"))
+    asked = stored(asked)
+    blocks = -(-asked.count() // block) or 1
+    lists = asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("b"), "avgdl").agg(F.collect_list(F.struct("qid", "t")).alias("q"))
+    flat = F.flatten(F.col("q.t"))
+    lists = lists.select("avgdl", F.col("q.qid").alias("qids"), F.transform("q", lambda x: F.size(x["t"])).alias("lengths"), flat["term"].alias("asked"), flat["idf"].alias("idfs"))
+    packs = index.filter(F.size("terms") > 0).select(F.col(id).cast("bigint"), F.col("dl").cast("int"), "terms").mapInArrow(_posting_blocks, "ids array<bigint>, dls array<int>, words array<string>, starts array<bigint>, places array<int>, tfs array<int>")
+    return top_k(packs.crossJoin(lists).mapInArrow(_best_of_blocks(k), "qid string, chunk_id bigint, score double"), k)
+
+
 def top_k(scores: DataFrame, k: int | Column, id: str = "chunk_id", digits: int = 9) -> DataFrame:
     """scores with their rank in each query, best first, ties by id; scores are compared as rounded."""
     w = W.partitionBy("qid").orderBy(F.round("score", digits).desc(), id)

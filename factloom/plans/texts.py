@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom.functions import freshness as fr
 from factloom.functions.text import content_words, normalized, stem_udf, stemmed, with_tokens, words_of
 from factloom.operators import index, retrieval
-from factloom.session import load, spread
+from factloom.session import load, spread, stored
 
 NOW = date(2026, 9, 29)
 #: A stated table of questions; the corpus is asked all of them in one job.
@@ -183,7 +183,7 @@ def bm25_many(spark, sf_dir):
     """The five best documents for the entity and title of every document. Questions of the same words are scored once."""
     named = with_tokens(load(spark, sf_dir, "documents").withColumn("name", F.concat_ws(" ", "entity", "title")), "name", "terms").select("doc_id", F.array_sort(F.array_distinct("terms")).alias("terms")).filter(F.size("terms") > 0)
     asked = named.withColumn("qid", F.array_join("terms", " "))
-    best = retrieval.top_k(retrieval.bm25(tokens(spark, sf_dir), asked.select("qid", "terms").distinct()), 5)
+    best = retrieval.bm25_best(stored(retrieval.forward(tokens(spark, sf_dir))), asked.select("qid", "terms").distinct(), 5)
     return asked.select(F.col("doc_id").alias("asker"), "qid").join(best, "qid").select("asker", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
