@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import retrieval
-from factloom.plans import texts
+from factloom.plans import facts, search, texts
 
 
 def shuffled(spark, run) -> int:
@@ -37,6 +37,7 @@ def alike(spark, tmp_path_factory):
         F.lit(50).cast("long").alias("n_chars"), F.lit("a.md").alias("path"), F.to_date(F.lit("2024-01-01")).alias("updated"),
     )
     docs.coalesce(2).write.parquet(f"{d}/documents.parquet")
+    spark.range(600).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).cast("array<float>").alias("embedding")).coalesce(1).write.parquet(f"{d}/embeddings.parquet")
     spark.range(600).select(F.col("id").alias("doc_id"), F.lit("law").alias("subject"), F.lit("r1").alias("rater")).coalesce(1).write.parquet(f"{d}/doc_labels.parquet")
     return d
 
@@ -93,3 +94,9 @@ def test_bm25_many_moves_no_pairs(spark, alike):
     got = []
     assert shuffled(spark, lambda: got.extend(texts.bm25_many(spark, alike).collect())) < 40_000  # 360 000 pairs
     assert len(got) == 3000 and all(r.doc_id == r.asker for r in got if r["rank"] == 1)
+
+
+def test_bench_systems_moves_few_rows(spark, alike):
+    got = []
+    n = shuffled(spark, lambda: got.extend(facts.bench_systems(spark, alike).collect()))
+    assert {r.system for r in got} >= {"embed", "embed_layer"} and n < 7_000, n
