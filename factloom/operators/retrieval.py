@@ -191,11 +191,12 @@ def _best_of_blocks(k: int):
     return run
 
 
-def bm25_best(index: DataFrame, queries: DataFrame, k: int, id: str = "chunk_id", block: int = 250_000) -> DataFrame:
+def bm25_best(index: DataFrame, queries: DataFrame, k: int, id: str = "chunk_id", block: int = 250_000, among: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank): the first k of bm25_of for each query, for tables of very many queries.
 
     Blocks of queries meet blocks of the index, and each pair gives k rows a query, so that what is moved grows with the
-    queries and not with the pairs of query and text. ``queries``: qid string, terms array.
+    queries and not with the pairs of query and text. ``queries``: qid string, terms array; ``among`` (a table of ids): only
+    these texts are ranked, while corpus figures stay those of the whole corpus.
     """
     wanted = queries.select(F.col("qid").cast("string").alias("qid"), F.explode(F.array_distinct("terms")).alias("term")).filter("qid is not null")
     stats = index.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
@@ -206,7 +207,8 @@ def bm25_best(index: DataFrame, queries: DataFrame, k: int, id: str = "chunk_id"
     lists = asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("b"), "avgdl").agg(F.collect_list(F.struct("qid", "t")).alias("q"))
     flat = F.flatten(F.col("q.t"))
     lists = lists.select("avgdl", F.col("q.qid").alias("qids"), F.transform("q", lambda x: F.size(x["t"])).alias("lengths"), flat["term"].alias("asked"), flat["idf"].alias("idfs"))
-    packs = index.filter(F.size("terms") > 0).select(F.col(id).cast("bigint"), F.col("dl").cast("int"), "terms").mapInArrow(_posting_blocks, "ids array<bigint>, dls array<int>, words array<string>, starts array<bigint>, places array<int>, tfs array<int>")
+    ranked = index if among is None else index.join(among, id, "left_semi")
+    packs = ranked.filter(F.size("terms") > 0).select(F.col(id).cast("bigint"), F.col("dl").cast("int"), "terms").mapInArrow(_posting_blocks, "ids array<bigint>, dls array<int>, words array<string>, starts array<bigint>, places array<int>, tfs array<int>")
     return top_k(packs.crossJoin(lists).mapInArrow(_best_of_blocks(k), "qid string, chunk_id bigint, score double"), k)
 
 

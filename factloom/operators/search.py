@@ -159,14 +159,14 @@ def search(tables: dict[str, DataFrame], queries: DataFrame, *, k: int = 5, now:
 
 def hybrid_scores(tables: dict[str, DataFrame], queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, *, depth: int = 50, as_of: date | None = None) -> DataFrame:
     """First-stage scores by reciprocal-rank fusion of the best ``depth`` by BM25 and by vectors (chunk_id, vec / qid, vec)."""
-    raw = retrieval.bm25_of(postings_of(tables), queries)
+    alive = None
     if as_of is not None:
         arrays = F.coalesce("starts", F.expr("array()").cast("array<date>"))
         chunks = tables["chunks"].join(chunk_facts(tables["assertions"]), "chunk_id", "left")
         alive = chunks.filter(facts.exists_at(F.col("effective_date"), F.col("effective_source"), arrays, F.lit(as_of))).select("chunk_id")
-        raw, vectors = raw.join(alive, "chunk_id", "left_semi"), vectors.join(alive, "chunk_id", "left_semi")
+        vectors = vectors.join(alive, "chunk_id", "left_semi")
     dense = retrieval.cosine_top_k(vectors, query_vectors, depth, id="chunk_id", vec="vec")
-    return retrieval.fuse([retrieval.top_k(raw, depth), dense])
+    return retrieval.fuse([retrieval.bm25_best(postings_of(tables), queries, depth, among=alive), dense])
 
 
 def stale(tables: dict[str, DataFrame], now: date, cfg: fr.Windows = fr.Windows()) -> DataFrame:

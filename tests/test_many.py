@@ -96,6 +96,13 @@ def test_bm25_many_moves_no_pairs(spark, alike):
     assert len(got) == 3000 and all(r.doc_id == r.asker for r in got if r["rank"] == 1)
 
 
+@pytest.mark.parametrize("name, most", [("hybrid_rrf", 7_000)])
+def test_fusion_moves_no_pairs(spark, alike, name, most):
+    got = []
+    n = shuffled(spark, lambda: got.extend(search.QUERIES[name](spark, alike).collect()))
+    assert len({r.qid for r in got}) == 6 and n < most, n
+
+
 def test_bench_systems_moves_few_rows(spark, alike):
     got = []
     n = shuffled(spark, lambda: got.extend(facts.bench_systems(spark, alike).collect()))
