@@ -96,7 +96,7 @@ def test_bm25_many_moves_no_pairs(spark, alike):
     assert len(got) == 3000 and all(r.doc_id == r.asker for r in got if r["rank"] == 1)
 
 
-@pytest.mark.parametrize("name, most", [("hybrid_rrf", 7_000)])
+@pytest.mark.parametrize("name, most", [("rrf_fuse", 4_000), ("hybrid_rrf", 7_000)])
 def test_fusion_moves_no_pairs(spark, alike, name, most):
     got = []
     n = shuffled(spark, lambda: got.extend(search.QUERIES[name](spark, alike).collect()))
