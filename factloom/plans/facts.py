@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom.functions.text import content_words, normalized, with_tokens, words_of
 from factloom.operators import evaluate, facts, notes, retrieval, search
 from factloom.plans import texts
-from factloom.session import cut, load
+from factloom.session import cut, load, stored
 
 CUTOFFS = (date(2021, 1, 1), date(2023, 1, 1), date(2025, 1, 1))
 SINCE, UNTIL = date(2023, 6, 1), date(2024, 6, 1)
@@ -215,12 +215,12 @@ def _ranked(spark, sf_dir) -> DataFrame:
     labels = load(spark, sf_dir, "doc_labels").filter("subject is not null").select(F.col("doc_id").alias("id"), F.col("subject").alias("category"), "rater").distinct()
     wanted = docs.join(labels.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     named = with_tokens(wanted.withColumn("name", F.concat_ws(" ", "entity", "title")), "name", "terms").select(F.col("doc_id").cast("string").alias("qid"), F.array_distinct("terms").alias("terms"))
-    best = retrieval.top_k(retrieval.bm25(texts.tokens(spark, sf_dir), named), 10)
-    own = best.filter(F.col("qid") == F.col("chunk_id").cast("string")).select(F.col("chunk_id").alias("id"), "rank")
+    best = retrieval.bm25_best(stored(retrieval.forward(texts.tokens(spark, sf_dir))), named, 10)
+    own = best.groupBy(F.col("qid").cast("long").alias("id")).agg(F.max(F.when(F.col("qid") == F.col("chunk_id").cast("string"), F.col("rank"))).alias("rank"), F.lit(True).alias("any"))
     key = F.lower(F.concat_ws(" ", "entity", "title"))
     newest = docs.filter("entity is not null and title is not null and updated is not null").groupBy(key.alias("key")).agg(F.max("updated").alias("newest"))
     states = docs.join(newest, key == F.col("key"), "left").select(F.col("doc_id").alias("id"), F.coalesce(F.col("updated") < F.col("newest"), F.lit(False)).alias("stale"), (F.col("n_chars") % 997 / 10.0).alias("ms"))
-    found = labels.join(own, "id", "left").join(states, "id").join(best.select(F.col("qid").cast("long").alias("id"), F.lit(True).alias("any")).distinct(), "id", "left")
+    found = labels.join(own, "id", "left").join(states, "id")
     return found.select("id", "category", F.concat("category", F.lit("/"), "rater").alias("case"), "rank", "stale", F.coalesce("any", F.lit(False)).alias("answered"), "ms")
 
 

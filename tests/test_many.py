@@ -107,3 +107,10 @@ def test_bench_systems_moves_few_rows(spark, alike):
     got = []
     n = shuffled(spark, lambda: got.extend(facts.bench_systems(spark, alike).collect()))
     assert {r.system for r in got} >= {"embed", "embed_layer"} and n < 7_000, n
+
+
+@pytest.mark.parametrize("name", ["failure_counts"])
+def test_metrics_move_no_pairs(spark, alike, name):
+    got = []
+    n = shuffled(spark, lambda: got.extend(facts.QUERIES[name](spark, alike).collect()))
+    assert n < 40_000, n
