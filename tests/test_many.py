@@ -109,7 +109,7 @@ def test_bench_systems_moves_few_rows(spark, alike):
     assert {r.system for r in got} >= {"embed", "embed_layer"} and n < 7_000, n
 
 
-@pytest.mark.parametrize("name", ["failure_counts", "latency_quantiles", "eval_metrics", "grade_outcome"])
+@pytest.mark.parametrize("name", ["failure_counts", "latency_quantiles", "eval_metrics", "grade_outcome", "temporal_summary"])
 def test_metrics_move_no_pairs(spark, alike, name):
     got = []
     n = shuffled(spark, lambda: got.extend(facts.QUERIES[name](spark, alike).collect()))
